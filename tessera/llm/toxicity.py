@@ -4,10 +4,10 @@ A word is the mean of the vectors of its features: the word itself and its chara
 with boundary marks, hashed into BUCKETS. A document is the mean of its words. A softmax over two
 classes reads it. A misspelling never seen shares most n-grams with the word it comes from.
 
-The fit takes at most SAMPLE labelled rows of class 1 and twice as many of class 0, those with the
-smallest hash of the id, and as many again of fold 4, which set the offset of the margin (that of
-the most right predictions, so rows there keep the classes' own proportions: the first 3 x SAMPLE by
-hash). It runs in one task. Scoring takes every
+The fit takes at most SAMPLE labelled rows of class 1 and three times as many of class 0, those with
+the smallest hash of the id, and runs in one task. Averages are scaled by SCALE, and the bias starts
+at the rarer class's small odds, so that only words that tell toxic rows apart move far.
+Scoring takes every
 whole text: as mean and softmax are linear up to the last step, a word adds one number, which
 workers remember for up to MEMO words.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import read_table
 from .labels import fold, training_rows
 
-BUCKETS, DIM, SAMPLE, EPOCHS, BATCH, RATE, MEMO = 1 << 16, 4, 2000, 8, 64, 0.5, 500_000
+BUCKETS, DIM, SAMPLE, EPOCHS, BATCH, RATE, SCALE, BIAS, MEMO = 1 << 18, 4, 1500, 5, 64, 0.3, 100.0, -4.0, 500_000
 _WORD = re.compile(r"\w+")
 
 
@@ -78,11 +78,11 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
         ids = np.concatenate(at) if at else np.zeros(0, np.int32)
         dense = np.bincount(ids, weights=np.concatenate(much) if much else None, minlength=BUCKETS)
         ids = np.flatnonzero(dense).astype(np.int32)
-        docs.append((ids, dense[ids].astype(np.float32)))
+        docs.append((ids, (SCALE * dense[ids]).astype(np.float32)))
     known.clear()
-    emb = (rng.standard_normal((BUCKETS, DIM)) * 0.1).astype(np.float32)
-    out, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.zeros(2, np.float32)
-    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-8, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    emb = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
+    out, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.array([-BIAS / 2, BIAS / 2], np.float32)
+    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-2, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for _ in range(EPOCHS):
         order = rng.permutation(len(docs))
         for lo in range(0, len(docs), BATCH):
@@ -104,39 +104,23 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
             g_bias += d_bias**2
             emb -= RATE * step / np.sqrt(g_emb)[:, None]
             out -= 0.1 * d_out / np.sqrt(g_out)
-            bias -= 0.1 * d_bias / np.sqrt(g_bias)
+            bias -= 0.3 * d_bias / np.sqrt(g_bias)
     margin = out[:, 1] - out[:, 0]
-    return Model(emb @ margin, float(bias[1] - bias[0]))
-
-
-def tuned(model: Model, texts: list[str], labels: np.ndarray) -> Model:
-    """The model with its bias moved to where most of the given rows are predicted right."""
-    labels = np.asarray(labels, dtype=np.int64)
-    if len(set(labels.tolist())) < 2:
-        return model
-    margins = np.array(_margins(model, texts, {}))
-    order = np.argsort(margins, kind="stable")
-    m, y = margins[order], labels[order]
-    right = np.concatenate([[0], np.cumsum(1 - y)]) + (y.sum() - np.concatenate([[0], np.cumsum(y)]))  # rows below a cut are class 0
-    best = np.flatnonzero(right == right.max())
-    at = int(best[len(best) // 2])
-    edge = (m[max(at - 1, 0)] + m[min(at, len(m) - 1)]) / 2
-    return Model(model.weight, float(model.bias - edge))
+    return Model(emb @ margin * np.float32(SCALE), float(bias[1] - bias[0]))
 
 
 def train(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model from a bounded sample of labelled rows; the fit runs on an executor."""
-    rows = training_rows(df, labels, label, id_col, text_col).withColumn("tune", fold("id") == 4)
+    rows = training_rows(df, labels, label, id_col, text_col)
 
     def first(part: DataFrame, n: int) -> DataFrame:
         return part.orderBy(F.xxhash64("id"), "id", "text").limit(n)
 
-    both = first(rows.where("not tune and label = 1"), sample).union(first(rows.where("not tune and label = 0"), 2 * sample)).union(first(rows.where("tune"), 3 * sample))
+    both = first(rows.where("label = 1"), sample).union(first(rows.where("label = 0"), 3 * sample))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "label", "text"], kind="stable")
-        fits, tunes = pdf[~pdf["tune"]], pdf[pdf["tune"]]
-        model = tuned(fit(fits["text"].tolist(), fits["label"].to_numpy()), tunes["text"].tolist(), tunes["label"].to_numpy())
+        model = fit(pdf["text"].tolist(), pdf["label"].to_numpy())
         return pd.DataFrame({"weight": [model.weight.astype(np.float32).tobytes()], "bias": [model.bias]})
 
     got = both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "weight binary, bias double").collect()
