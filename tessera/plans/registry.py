@@ -2,5 +2,218 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import ingest, lexical
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+QUERY = "tion onai the auouon"
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _lists(text: str) -> str:
+    """DuckDB SQL: token lists (all, and without stopwords) of a text expression named x in `src(doc, x)`."""
+    return f"""lex AS (SELECT doc, regexp_extract_all(replace(lower(coalesce(x, '')), 'ß', 'ss'), '{T.LEXEME}', 0) AS l FROM {text}),
+parts AS (SELECT doc, l, list_filter(l, lambda t: regexp_matches(t, '{T.ALNUM}')) AS terms FROM lex),
+tok AS (SELECT doc, list_concat(list_concat(terms,
+  flatten(list_transform(list_filter(terms, lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}].*[._-].*[\\p{{L}}\\p{{N}}]$') AND regexp_matches(t, '{T.LETTER}')),
+    lambda t: list_distinct(list_append(regexp_split_to_array(t, '[._-]'), regexp_replace(t, '[._-]', '', 'g')))))),
+  list_transform(list_filter(range(1, len(l) - 1), lambda i: regexp_matches(l[i], '{T.PLAIN}') AND regexp_matches(l[i + 2], '{T.PLAIN}')
+    AND regexp_matches(l[i + 1], '^[ \\t\\f]+$') AND l[i] <> l[i + 2] AND l[i] NOT IN ({_STOP}) AND l[i + 2] NOT IN ({_STOP})
+    AND length(l[i]) >= 2 AND length(l[i + 2]) >= 2 AND length(l[i]) + length(l[i + 2]) <= 48 AND regexp_matches(l[i] || l[i + 2], '{T.LETTER}')),
+    lambda i: l[i] || l[i + 2])) AS every FROM parts),
+toks AS (SELECT doc, every, list_filter(every, lambda t: t NOT IN ({_STOP})) AS tokens FROM tok)"""
+
+
+_DOCS = "WITH src AS (SELECT doc_id AS doc, text AS x FROM documents), " + _lists("src")
+_POST = _DOCS + ", post AS (SELECT token, doc, count(*) AS tf FROM (SELECT doc, unnest(tokens) AS token FROM toks) GROUP BY 1, 2), dfs AS (SELECT token, count(*) AS df FROM post GROUP BY 1)"
+_Q = f", qsrc AS (SELECT 0 AS doc, '{QUERY}' AS x), " + _lists("qsrc").replace("lex AS", "qlex AS").replace("FROM lex", "FROM qlex").replace("parts AS", "qparts AS").replace("FROM parts", "FROM qparts").replace("tok AS (", "qtok AS (").replace("FROM tok)", "FROM qtok)").replace("toks AS", "qtoks AS")
+_QALL = _Q + ", q AS (SELECT DISTINCT unnest(every) AS token FROM qtoks)"
+_QSTOP = _Q + ", q AS (SELECT DISTINCT unnest(tokens) AS token FROM qtoks)"
+_BM25 = ", stats AS (SELECT doc, len(tokens) AS length FROM toks), corpus AS (SELECT count(*) AS n, coalesce(avg(length), 0) AS mean FROM stats), bm AS (SELECT token, doc, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * CASE WHEN mean > 0 THEN 0.25::DOUBLE + 0.75::DOUBLE * length / mean ELSE 1 END) AS weight FROM post JOIN dfs USING (token) JOIN stats USING (doc) CROSS JOIN corpus)"
+_TFIDF = ", tw AS (SELECT token, doc, tf * ln((n + 1)::DOUBLE / (df + 1)) AS weight FROM post JOIN dfs USING (token) CROSS JOIN (SELECT count(*) AS n FROM documents))"
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
+    return lexical.tokenized(_table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"), keep_stopwords=keep)
+
+
+def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.postings(_tokens(spark, sf_dir))
+
+
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tokens(spark, sf_dir)
+    return lexical.bm25_index(lexical.postings(t), lexical.doc_stats(t))
+
+
+def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _published(scores: DataFrame, k: int = 10) -> DataFrame:
+    return lexical.top(scores, k).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+
+
+@query("ranked_index", _POST + " SELECT token, doc AS doc_id, tf FROM post")
+def _(spark, d):
+    return _post(spark, d).select("token", F.col("doc").alias("doc_id"), "tf")
+
+
+@query("inverted_index", _POST + " SELECT token, string_agg(doc::VARCHAR, ',' ORDER BY doc) AS docs FROM post GROUP BY 1")
+def _(spark, d):
+    return lexical.inverted_index(_post(spark, d)).select("token", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@query("tfidf_index", _POST + _TFIDF + " SELECT token, doc AS doc_id, round(weight, 4) AS weight FROM tw")
+def _(spark, d):
+    return lexical.tfidf_index(_post(spark, d), _count(spark, d)).select("token", F.col("doc").alias("doc_id"), F.round("weight", 4).alias("weight"))
+
+
+@query("bm25_index", _POST + _BM25 + " SELECT token, doc AS doc_id, round(weight, 4) AS weight FROM bm")
+def _(spark, d):
+    return _bm25(spark, d).select("token", F.col("doc").alias("doc_id"), F.round("weight", 4).alias("weight"))
+
+
+@query("doc_stats", _DOCS + " SELECT doc AS doc_id, len(tokens)::BIGINT AS length FROM toks")
+def _(spark, d):
+    return lexical.doc_stats(_tokens(spark, d)).withColumnRenamed("doc", "doc_id")
+
+
+@query("index_health", _POST + " SELECT (SELECT count(*) FROM documents) AS documents, count(DISTINCT token) AS terms FROM post")
+def _(spark, d):
+    terms = _post(spark, d).agg(F.countDistinct("token").alias("terms"))
+    return _count(spark, d).withColumnRenamed("n", "documents").crossJoin(terms)
+
+
+@query("basic_search", _DOCS + _QALL + " SELECT doc AS doc_id FROM toks WHERE list_has_any(every, (SELECT list(token) FROM q))")
+def _(spark, d):
+    return lexical.basic_search(_table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), QUERY).withColumnRenamed("doc", "doc_id")
+
+
+@query("inverted_search", _POST + _QALL + " SELECT DISTINCT doc AS doc_id FROM post JOIN q USING (token)")
+def _(spark, d):
+    return lexical.ranked(_post(spark, d), QUERY, "tf", True).select(F.col("doc").alias("doc_id"))
+
+
+def _search_sql(head: str, weights: str, weight: str, q: str) -> str:
+    return f"{head}{q} SELECT doc AS doc_id, round(score, 4) AS score FROM (SELECT doc, sum({weight})::DOUBLE AS score FROM {weights} JOIN q USING (token) GROUP BY 1) ORDER BY round(score, 9) DESC, doc LIMIT 10"
+
+
+@query("ranked_search", _search_sql(_POST, "post", "tf", _QALL))
+def _(spark, d):
+    return _published(lexical.ranked(_post(spark, d), QUERY, "tf", True).withColumn("score", F.col("score").cast("double")))
+
+
+@query("tfidf_search", _search_sql(_POST + _TFIDF, "tw", "weight", _QALL))
+def _(spark, d):
+    return _published(lexical.ranked(lexical.tfidf_index(_post(spark, d), _count(spark, d)), QUERY, "weight", True))
+
+
+@query("bm25_search", _search_sql(_POST + _BM25, "bm", "weight", _QSTOP))
+def _(spark, d):
+    return _published(lexical.ranked(_bm25(spark, d), QUERY, "weight", False))
+
+
+_HASH = "sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query("content_hash", f"SELECT doc_id, {_HASH} AS content_hash FROM documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"))
+
+
+@query("exact_dedup", f"SELECT {_HASH} AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def _(spark, d):
+    return ingest.first_of_content(_table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+@query("dedup_vs_history", f"SELECT {_HASH} AS content_hash, min(doc_id) AS doc_id FROM documents WHERE {_HASH} NOT IN (SELECT {_HASH} FROM documents WHERE lang = 'de') GROUP BY 1")
+def _(spark, d):
+    docs = _table(spark, d, "documents")
+    history = docs.where("lang = 'de'").select(T.content_hash(F.col("text")).alias("content_hash")).distinct()
+    return ingest.unseen(docs, history).withColumnRenamed("doc", "doc_id")
+
+
+_QUALITY = f"""WITH p AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{T.WORD.replace("'", "''")}', 0) AS w,
+list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
+c AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_unique, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::DOUBLE AS a, coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0)::DOUBLE AS o FROM p),
+m AS (SELECT doc_id, n_words, n_unique, CASE WHEN n_words > 0 THEN n_unique::DOUBLE / n_words ELSE 0 END AS u, CASE WHEN a > 0 THEN (a - o) / a ELSE 0 END AS r FROM c),
+z AS (SELECT doc_id, n_words, n_unique, round(u, 6) AS unique_ratio, round(r, 6) AS repeated_ratio, CASE WHEN n_words = 0 THEN 'empty_content' WHEN r > 0.5 THEN 'boilerplate' WHEN n_words < 40 THEN 'too_short' WHEN u < 0.3 THEN 'insufficient_content' END AS reason FROM m)"""
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    q = ingest.quality(_table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+    return q.withColumns({c: F.round(c, 6) for c in ("unique_ratio", "repeated_ratio")})
+
+
+@query("quality_metrics", _QUALITY + " SELECT * FROM z")
+def _(spark, d):
+    return _quality(spark, d)
+
+
+@query("quality_reasons_by_lang", _QUALITY + " SELECT lang, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM z JOIN documents USING (doc_id) GROUP BY 1, 2")
+def _(spark, d):
+    return _quality(spark, d).join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("word_chunks", """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 50 THEN 1 ELSE ((len(w) - 50 + 39) // 40) + 1 END)) AS chunk FROM w WHERE len(w) > 0)
+SELECT doc_id, chunk::INTEGER AS chunk, regexp_replace(array_to_string(w[chunk * 40 + 1 : chunk * 40 + 50], ''), '\\s+$', '') AS text FROM k""")
+def _(spark, d):
+    return ingest.word_chunks(_table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
+
+
+_HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+
+
+@query("pages_by_domain", f"SELECT {_HOST} AS domain, count(*) AS pages FROM pages GROUP BY 1")
+def _(spark, d):
+    return _table(spark, d, "pages").groupBy(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("water_fill", f"WITH p AS (SELECT {_HOST} AS domain, page_id FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM p), t AS (SELECT * FROM r WHERE rn <= 5 ORDER BY rn, domain LIMIT 60) SELECT domain, count(*) AS n FROM t GROUP BY 1")
+def _(spark, d):
+    return ingest.water_fill(_table(spark, d, "pages").select(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("domain"), "page_id"), 60, 5)
+
+
+_COS = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings"
+
+
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    e = _table(spark, d, "embeddings")
+    return ingest.nearest(e, e.where("vec_id = 0").select(F.col("embedding").alias("q")), k)
+
+
+@query("vector_topk", f"SELECT vec_id, round(s, 4) AS score FROM ({_COS}) ORDER BY round(s, 9) DESC, vec_id LIMIT 10")
+def _(spark, d):
+    return _nearest(spark, d, 10).select("vec_id", F.round("score", 4).alias("score"))
+
+
+@query(
+    "rrf_fusion",
+    _POST + _BM25 + _QSTOP + f""", b AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS bm25_rank FROM (SELECT doc, sum(weight) AS score FROM bm JOIN q USING (token) GROUP BY 1)),
+s AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS semantic_rank FROM ({_COS}) QUALIFY semantic_rank <= 200),
+f AS (SELECT coalesce(b.doc, s.doc) AS doc_id, bm25_rank, semantic_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS score FROM (SELECT * FROM b WHERE bm25_rank <= 200) b FULL JOIN s ON b.doc = s.doc)
+SELECT doc_id, bm25_rank::INTEGER AS bm25_rank, semantic_rank::INTEGER AS semantic_rank, round(score, 6) AS score FROM f ORDER BY round(f.score, 9) DESC, doc_id LIMIT 20""",
+)
+def _(spark, d):
+    lexical_hits = lexical.top(lexical.ranked(_bm25(spark, d), QUERY, "weight", False), 200)
+    fused = lexical.fuse(lexical_hits, _nearest(spark, d, 200).withColumnRenamed("vec_id", "doc"))
+    return lexical.top(fused, 20).select(F.col("doc").alias("doc_id"), "bm25_rank", "semantic_rank", F.round("score", 6).alias("score"))
