@@ -33,24 +33,28 @@ ANCHORS = tuple(
 )
 
 
-def signatures(text: Column) -> Column:
-    """The sorted set of signature hashes of a text (array<long>, each below 2^32)."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def with_signatures(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """df with the sorted set of signature hashes of a text (array<long>, each below 2^32).
+
+    One projection for each step, so that none is computed again inside another.
+    """
     stop = list(dict.fromkeys(ANCHORS))
     low = F.lit(0xFFFFFFFF).cast("long")
-
-    def chained(entries: Column) -> Column:
-        """From entries (a: word before, w: word): hashes of anchor and chain; null where there is none."""
-        n = F.greatest(F.size(entries), F.lit(1))
-        two = F.zip_with(entries, F.slice(entries, 2, n), lambda x, y: F.struct(x["a"].alias("a"), x["w"].alias("w"), y["w"].alias("v")))
-        return F.zip_with(two, F.slice(entries, 3, n), lambda x, y: F.when(y["w"].isNotNull(), F.struct(x["a"].alias("a"), F.xxhash64(x["a"], x["w"], x["v"], y["w"]).bitwiseAND(low).alias("h"))))
-
-    before = F.concat(F.array(F.lit("")), words)
-    entries = F.filter(F.zip_with(before, words, lambda a, w: F.struct(a.alias("a"), w.alias("w"))), lambda e: e["w"].isNotNull() & ~e["w"].isin(stop))
-    chains = F.filter(chained(entries), lambda c: c.isNotNull())
-    anchored = F.transform(F.filter(chains, lambda c: c["a"].isin(stop)), lambda c: c["h"])
-    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(F.lit("*"), F.array_join(words, " ")).bitwiseAND(low))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    return F.array_sort(F.array_distinct(F.when(F.size(anchored) > 0, anchored).when(F.size(chains) > 0, F.transform(chains, lambda c: c["h"])).otherwise(whole)))
+    kept = df.columns
+    out = df.withColumn("_words", F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    before = F.concat(F.array(F.lit("")), F.col("_words"))
+    content = F.filter(F.zip_with(before, "_words", lambda a, w: F.struct(a.alias("a"), w.alias("w"))), lambda e: e["w"].isNotNull() & ~e["w"].isin(stop))
+    out = out.select(*kept, "_words", content.alias("_e"))
+    n = F.greatest(F.size("_e"), F.lit(1))
+    two = F.zip_with("_e", F.slice("_e", 2, n), lambda x, y: F.struct(x["a"].alias("a"), x["w"].alias("w"), y["w"].alias("v")))
+    chains = F.zip_with(two, F.slice("_e", 3, n), lambda x, y: F.when(y["w"].isNotNull(), F.struct(x["a"].isin(stop).alias("a"), F.xxhash64(x["a"], x["w"], x["v"], y["w"]).bitwiseAND(low).alias("h"))))
+    out = out.select(*kept, "_words", chains.alias("_c"))
+    anchored = F.transform(F.filter("_c", lambda c: c["a"]), lambda c: c["h"])
+    out = out.select(*kept, "_words", "_c", anchored.alias("_h"))
+    whole = F.when(F.size("_words") > 0, F.array(F.xxhash64(F.lit("*"), F.array_join("_words", " ")).bitwiseAND(low))).otherwise(F.expr("cast(array() as array<bigint>)"))
+    bare = F.transform(F.filter("_c", lambda c: c.isNotNull()), lambda c: c["h"])
+    chosen = F.when(F.size("_h") > 0, F.col("_h")).otherwise(F.when(F.size(bare) > 0, bare).otherwise(whole))
+    return out.select(*kept, F.array_sort(F.array_distinct(chosen)).alias(name))
 
 
 def hexed(sigs: Column) -> Column:
@@ -66,7 +70,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id) for every row, equal sets having one class, and (class_a, class_b, likeness) of near classes."""
-    rows = stash(df.select(F.col(id_col).alias("doc_id"), signatures(F.col(text_col).cast("string")).alias("sigs")), "spot-sigs")
+    rows = with_signatures(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", "sigs")
+    rows = stash(rows.select("doc_id", "sigs"), "spot-sigs")
     member = rows.select("doc_id", F.xxhash64("sigs").alias("set_id"))
     sets = rows.groupBy(F.xxhash64("sigs").alias("set_id")).agg(F.min("sigs").alias("sigs")).where(F.size("sigs") > 0)
     each = sets.select("set_id", F.size("sigs").alias("n"), F.explode_outer("sigs").alias("sig"))
@@ -97,7 +102,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), text.alias("text"))
     rows = rows.join(order, rows["doc_id"].eqNullSafe(order["_o"]) & (rows["th"] == order["_t"])).select("doc_id", "text", "row_no", "same")
-    rows = rows.withColumn("sigs", signatures(F.col("text")))
+    rows = with_signatures(rows, "text", "sigs")
     run = F.floor(F.col("row_no") / BUCKET).cast("long")
     last_run = (max(total, 1) - 1) // BUCKET
     ghost = F.when(F.col("row_no") % BUCKET == 0, F.when(run == 0, F.lit(last_run)).otherwise(run - 1))
@@ -117,7 +122,8 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(read_table(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", "sigs", "next_sigs", signatures(F.col("edited")).alias("edited_sigs"))
+    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "edited", "sigs", "next_sigs")
+    rows = with_signatures(rows, "edited", "edited_sigs")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), hexed(F.col("sigs")).alias("fingerprint"), hexed(F.col("edited_sigs")).alias("edited_fingerprint"),
         jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
