@@ -5,8 +5,8 @@ hash of those words at every position of test items and training texts is joined
 substitutions at the offsets a mask skips. Each mask has five words, and leaves out a residue modulo
 five, so even a substitution in every fifth word can't break all of its hits. A hit fixes a diagonal
 (place in the text less place in the item); along it the best run is the one with the largest sum of
-1 for an equal word and -4 for another: a run of similarity 0.8 or more. It is a leak if it spans
-MIN_WORDS words, or all of a shorter item (of five words at least, if it has them).
+100 for an equal word and -399 for another, so that a run at similarity 0.8 still grows. It is a leak
+at similarity 0.8 or more if it spans MIN_WORDS words, or all of a shorter item (of five words at least, if it has them).
 
 Null and empty texts and items have no words and no leaks; items of fewer words than the longest
 mask reaches are compared by the one word sequence they have, exactly. Repeated rows (same id) are
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import read_table, stash
 
 MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6))
-MIN_WORDS, PENALTY = 13, 4
+MIN_WORDS, EQUAL, PENALTY, LIKENESS = 13, 100, 399, 0.8
 #: Rows of test hashes (24 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -61,7 +61,7 @@ def best_run(item: Column, words: Column, diagonal: Column) -> Column:
     """struct(score, start, stop): the best run along a diagonal, counted from its first common place."""
     from_item, from_doc = F.greatest(-diagonal, F.lit(0)), F.greatest(diagonal, F.lit(0))
     n = F.least(F.size(item) - from_item, F.size(words) - from_doc)
-    same = F.zip_with(F.slice(item, from_item + 1, n), F.slice(words, from_doc + 1, n), lambda a, b: F.when(a == b, 1).otherwise(-PENALTY))
+    same = F.zip_with(F.slice(item, from_item + 1, n), F.slice(words, from_doc + 1, n), lambda a, b: F.when(a == b, EQUAL).otherwise(-PENALTY))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("since"), F.lit(0).alias("at"), F.lit(0).alias("score"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -100,11 +100,11 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     rows = hits.join(tests.withColumnRenamed("hashes", "item_hashes"), "item_id").join(texts, "doc_id")
     rows = rows.select("doc_id", "item_id", "diagonal", F.size("item_hashes").alias("item_words"), run.alias("run"))
     n = F.col("run.stop") - F.col("run.start")
-    equal = (F.col("run.score") + PENALTY * n) / (PENALTY + 1)
+    equal = (F.col("run.score") + PENALTY * n) / (PENALTY + EQUAL)
     found = rows.select(
         "doc_id", "item_id", (F.greatest("diagonal", F.lit(0)) + F.col("run.start")).alias("doc_start"), (F.greatest(-F.col("diagonal"), F.lit(0)) + F.col("run.start")).alias("item_start"),
         n.alias("n_words"), F.round(equal).cast("int").alias("n_equal"), "item_words",
-    ).where(F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words")))
+    ).where((F.col("n_words") >= F.least(F.lit(min_words), F.col("item_words"))) & (F.col("n_equal") >= LIKENESS * F.col("n_words")))
     best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("doc_start", "item_start", "n_words", "n_equal"), F.struct("n_equal", -F.col("n_words"), -F.col("doc_start"), -F.col("item_start"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*", (F.col("b.n_equal") / F.col("b.n_words")).alias("similarity"))
 
