@@ -22,14 +22,15 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, read_table, stash
+from .common import connected_components, drop_stash, read_table, stash
 
 SHINGLE, SEED, HOT = 3, 42, 32
+#: Near copies of keep_one: words of a shingle, and the least Jaccard likeness as a fraction.
+STAGE_SHINGLE, LIKE = 5, (4, 5)
 #: (shift, bits) of the three segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -146,19 +147,106 @@ def classes(prints: DataFrame) -> DataFrame:
     return prints.join(by_fp, "fp")
 
 
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """doc_id, th (text hash), n, sigs: the sorted set of shingle hashes of every row, and set_id, its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_hashes(t.as_py(), shingle) for t in b.column(2)]
+            sizes = np.array([len(x) for x in sets], dtype=np.int32)
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            sigs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes), sigs], names=["doc_id", "th", "n", "sigs"])
+
+    text = F.col(text_col).cast("string")
+    slim = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    out = slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, th long, n int, sigs array<long>")
+    return out.withColumn("set_id", F.xxhash64("sigs"))
+
+
+def shingle_hashes(text: str | None, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """The sorted set of hashes of the shingles of one text; a text of fewer words has one shingle, a text without none."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], dtype=np.uint64)
+    k = min(shingle, len(h))
+    mixed = np.full(max(len(h) - k + 1, 0) if k else 0, k, dtype=np.uint64)
+    for i in range(k):
+        mixed = (mixed ^ h[i : i + len(mixed)]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed.view(np.int64))
+
+
+def near_links(sets: DataFrame, hot: int = HOT) -> DataFrame:
+    """(u, v): set ids linked by Jaccard likeness >= LIKE; all such links are implied by paths in it. `sets(set_id, n, sigs)` is distinct.
+
+    Exact: in any one order of all shingles, two sets that alike share one of their first n // 5 + 1. The order is
+    by hash, but shingles that more than `hot` sets have among those come last. Where still more share one, each is
+    first compared with one of them, and then only those of different components with each other.
+    """
+    num, den = LIKE
+    sets = sets.where("n > 0")
+    reach = f"n - cast(ceil(n * {num} / {den}) as int) + 1"
+    first = sets.select("set_id", "n", F.explode(F.expr(f"slice(sigs, 1, {reach})")).alias("key"))
+    by_key = Window.partitionBy("key")
+    sized = stash(first.withColumn("size", F.count(F.lit(1)).over(by_key)).where("size > 1"), "near-keys")
+    common = stash(sized.where(F.col("size") > hot).select("key").distinct().withColumn("common", F.lit(1)), "near-common")
+    moved = stash(sized.where(F.col("size") > hot).select("set_id").distinct(), "near-moved")
+    again = sets.join(moved, "set_id", "left_semi").select("set_id", "n", F.explode("sigs").alias("key")).join(common, "key", "left")
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy(F.coalesce("common", F.lit(0)), "key"))
+    again = again.withColumn("at", place).where(f"at <= {reach}").select("set_id", "n", "key")
+    # a key of a set that moved is shared with sets that did not, and those may have been alone with it
+    stay = first.join(moved, "set_id", "left_anti").select("set_id", "n", "key")
+    sized = stash(stay.unionByName(again).withColumn("size", F.count(F.lit(1)).over(by_key)).where("size > 1"), "near-keys")
+
+    length = f"{den} * least(na, nb) >= {num} * greatest(na, nb)"
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs.select("u", "v").distinct(), "near-pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("set_id")).distinct()
+        texts = stash(sets.join(ends, "set_id", "left_semi").select("set_id", "sigs"), "near-sets")
+        both = pairs.join(texts.select(F.col("set_id").alias("u"), F.col("sigs").alias("a")), "u").join(texts.select(F.col("set_id").alias("v"), F.col("sigs").alias("b")), "v")
+        same = F.size(F.array_intersect("a", "b"))
+        out = stash(both.where(den * same >= num * (F.size("a") + F.size("b") - same)).select("u", "v"), "near-links")
+        drop_stash(texts)
+        return out
+
+    few = sized.where(F.col("size") <= hot)
+    a, b = few.select("key", F.col("set_id").alias("u"), F.col("n").alias("na")), few.select("key", F.col("set_id").alias("v"), F.col("n").alias("nb"))
+    pairs = a.join(b, "key").where(f"u > v and {length}").select("u", "v")
+    many = sized.where(F.col("size") > hot)
+    hub = F.first("set_id").over(Window.partitionBy("key").orderBy("n", "set_id"))
+    stars = many.select(F.col("set_id").alias("u"), hub.alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    found = verified(pairs.union(stars))
+
+    roots = connected_components(found).withColumnRenamed("node", "set_id")
+    left = many.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    left = stash(left.withColumn("lo", F.min("root").over(by_key)).withColumn("hi", F.max("root").over(by_key)).where("lo <> hi").select("key", "set_id", "n", "root"), "near-left")
+    a, b = (left.select("key", F.col("set_id").alias(x), F.col("n").alias(f"n{y}"), F.col("root").alias(f"r{y}")) for x, y in (("u", "a"), ("v", "b")))
+    return found.union(verified(a.join(b, "key").where(f"u > v and ra <> rb and {length}").select("u", "v")))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: one with the smallest id (null only if all are)."""
-
-    @F.pandas_udf("long")
-    def fp_of(text: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in text], dtype="int64")
-
-    prints = stash(fingerprints(df, id_col, text_col), "simhash")
-    kept = classes(prints).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class_fp").agg(F.min(F.struct("doc_id", "fp")).alias("_kept"))
-    kept = kept.select(F.col("_kept.doc_id").alias("_kept_id"), F.col("_kept.fp").alias("_kept_fp"))
-    own = df.withColumn("_own_fp", fp_of(F.col(text_col).cast("string")))
-    one = own.join(kept, (F.col("_own_fp") == F.col("_kept_fp")) & own[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return one.dropDuplicates([id_col, "_own_fp"]).drop("_own_fp")
+    """df with one row of each group of near copies: one with the smallest id (null only if all are).
+
+    Near copies have five-word shingles of Jaccard likeness 0.8 or more, or are linked by such. Fingerprints don't
+    find these: most differ in 3 to 9 bits, too many for keys. So the sets themselves are joined, see near_links.
+    """
+    prints = stash(shingle_sets(df, id_col, text_col), "near-prints")
+    by_set = prints.groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"), F.min("n").alias("n"))
+    firsts = stash(by_set, "near-firsts")
+    owner = firsts.select("set_id", F.col("first.doc_id").alias("o"), F.col("first.th").alias("t"))
+    one = prints.join(owner, (prints["set_id"] == owner["set_id"]) & prints["doc_id"].eqNullSafe(owner["o"]) & (prints["th"] == owner["t"]), "left_semi")
+    sets = stash(one.select("set_id", "n", "sigs").dropDuplicates(["set_id"]), "near-distinct")
+    drop_stash(prints)
+    roots = stash(connected_components(near_links(sets)), "near-roots").withColumnRenamed("node", "set_id")
+    kept = firsts.join(roots, "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("first").alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.th").alias("_kept_th"))
+    own = df.withColumn("_own_th", F.xxhash64(F.col(text_col).cast("string")))
+    rest = own.join(kept, (F.col("_own_th") == F.col("_kept_th")) & own[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return rest.dropDuplicates([id_col, "_own_th"]).drop("_own_th")
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

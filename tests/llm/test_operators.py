@@ -130,3 +130,30 @@ def test_toxicity_learns_and_scores_all(spark):
     scores = toxicity.score_texts(model, iter(["plain words here", "vile rotter", None, ""]))
     assert scores[1] > 0.5 > scores[0] and all(0 <= s <= 1 for s in scores)
     assert toxicity.score_texts(toxicity.fit([], np.zeros(0)), iter(["x"]))[0] < 0.5
+
+
+@pytest.mark.parametrize("hot", [1, 32])
+def test_keep_one_finds_all_near_copies(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (hot,))
+    rng = np.random.default_rng(5)
+    texts = ["", None]
+    for g in range(12):
+        base = [f"w{g}x{i}" for i in range(int(rng.integers(12, 80)))] + ["common words stand in all texts"]
+        for _ in range(8):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(len(words)))] = f"z{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    near = [(a, b) for b in range(len(sets)) for a in range(b) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in near:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    bits = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() for a, b in near if sets[a] != sets[b]]
+    assert sum(x > 2 for x in bits) > 20  # out of reach of the query's radius
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == sorted(set(root))
