@@ -2,11 +2,13 @@
 
 Words are runs of letters and digits in lower case. A mask names the token offsets that count; the
 hash of those words at every position of test items and training texts is joined, so a hit survives
-substitutions at the offsets a mask skips. Each mask has five words, and leaves out a residue modulo
-five, so even a substitution in every fifth word can't break all of its hits. A hit fixes a diagonal
-(place in the text less place in the item); along it the best run is the one with the largest sum of
-100 for an equal word and -399 for another, so that a run at similarity 0.8 still grows. It is a leak
-at similarity 0.8 or more if it spans MIN_WORDS words, or all of a shorter item (of five words at least, if it has them).
+substitutions at the offsets a mask skips. Every run of seven words or more at similarity 0.8 has a hit
+of MASKS: with four equal words in a row nowhere, it has three substitutions at most, and then three
+equal words stand beside two. Items of five or six words, if there are any, need SHORT_MASKS too.
+
+A hit fixes a diagonal (place in the text less place in the item). A run along it is a leak at similarity
+0.8 or more if it spans MIN_WORDS words, or all of a shorter item. Reported is the run with the largest
+sum of 100 for an equal word and -399 for another, or, if that one is no leak, the longest at 0.8.
 
 Null and empty texts and items have no words and no leaks; items of fewer words than the longest
 mask reaches are compared by the one word sequence they have, exactly. Repeated rows (same id) are
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, stash
 
-MASKS = ((0, 1, 2, 3, 5), (0, 1, 3, 5, 6))
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4, 5))
+SHORT_MASKS = ((0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 MIN_WORDS, EQUAL, PENALTY, LIKENESS = 13, 100, 399, 0.8
 #: Rows of test hashes (24 bytes each) up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -37,24 +40,27 @@ def _gram(hashes: Column, offsets: Sequence[int], *more: int) -> Callable[[Colum
     return lambda i: F.xxhash64(*map(F.lit, more), *(F.get(hashes, i + k) for k in offsets))
 
 
-def seeds(hashes: Column) -> Column:
-    """The hashes of all masks at all positions, mask after mask; see seed_place."""
+def seeds(hashes: Column, masks: Sequence[Sequence[int]] = MASKS) -> Column:
+    """The hashes of all masks at all positions, mask after mask; see seeded."""
     each = []
-    for m, mask in enumerate(MASKS):
+    for m, mask in enumerate(masks):
         last = F.size(hashes) - mask[-1] - 1
         at = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), _gram(hashes, mask, m))
         each.append(F.when(last >= 0, at).otherwise(F.expr("cast(array() as array<bigint>)")))
     return F.concat(*each)
 
 
-def seeded(df: DataFrame, id_name: str, place: str) -> DataFrame:
+def seeded(df: DataFrame, id_name: str, place: str, masks: Sequence[Sequence[int]] = MASKS) -> DataFrame:
     """id, seed, place of every masked position, from df(id, hashes).
 
     The outer form of explode, as the filter that Spark infers for the other would compute the hashes twice.
     """
-    counts = [F.greatest(F.size("hashes") - mask[-1], F.lit(0)) for mask in MASKS]
-    rows = df.select(id_name, counts[0].alias("_n"), seeds(F.col("hashes")).alias("_seeds")).select(id_name, "_n", F.posexplode_outer("_seeds").alias("_at", "seed")).where("seed is not null")
-    return rows.select(id_name, "seed", F.when(F.col("_at") < F.col("_n"), F.col("_at")).otherwise(F.col("_at") - F.col("_n")).alias(place))
+    rows = df.select(id_name, F.size("hashes").alias("_n"), seeds(F.col("hashes"), masks).alias("_seeds")).select(id_name, "_n", F.posexplode_outer("_seeds").alias("_at", "seed")).where("seed is not null")
+    at, before = F.col("_at"), F.lit(0)
+    for mask in masks[:-1]:
+        before = before + F.greatest(F.col("_n") - mask[-1], F.lit(0))
+        at = F.when(F.col("_at") >= before, F.col("_at") - before).otherwise(at)
+    return rows.select(id_name, "seed", at.alias(place))
 
 
 def best_run(item: Column, words: Column, diagonal: Column) -> Column:
@@ -76,15 +82,56 @@ def best_run(item: Column, words: Column, diagonal: Column) -> Column:
     return F.aggregate(same, start, step)
 
 
+def longest_run(item: Column, words: Column, diagonal: Column) -> Column:
+    """struct(score, start, stop): the longest run along a diagonal with four equal words or more for each other one; score as in best_run.
+
+    With sums of 1 and -4 from the left, it is the widest pair of places with no fall between: one walk over the least
+    sums up to a place and the greatest from a place on.
+    """
+    from_item, from_doc = F.greatest(-diagonal, F.lit(0)), F.greatest(diagonal, F.lit(0))
+    n = F.least(F.size(item) - from_item, F.size(words) - from_doc)
+    same = F.zip_with(F.slice(item, from_item + 1, n), F.slice(words, from_doc + 1, n), lambda a, b: F.when(a == b, 1).otherwise(-4))
+    none = F.array(F.lit(0))
+    sums = F.aggregate(same, none, lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def walk(s: Column) -> Column:
+        low = F.aggregate(F.slice(s, 2, F.size(s)), none, lambda acc, x: F.concat(acc, F.array(F.least(F.element_at(acc, -1), x))))
+        back = F.reverse(s)
+        high = F.reverse(F.aggregate(F.slice(back, 2, F.size(s)), F.slice(back, 1, 1), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x)))))
+        return F.struct(s.alias("s"), low.alias("low"), high.alias("high"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
+
+    def widest(w: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            fits = F.get(w["low"], acc["i"]) <= F.get(w["high"], acc["j"])  # null beyond the end
+            better = fits & (acc["j"] - acc["i"] > acc["stop"] - acc["start"])
+            return F.struct(
+                F.when(~fits, acc["i"] + 1).otherwise(acc["i"]).alias("i"), F.when(fits, acc["j"] + 1).otherwise(acc["j"]).alias("j"),
+                F.when(better, acc["i"]).otherwise(acc["start"]).alias("start"), F.when(better, acc["j"]).otherwise(acc["stop"]).alias("stop"),
+            )
+
+        def result(acc: Column) -> Column:
+            gained, length = F.get(w["s"], acc["stop"]) - F.get(w["s"], acc["start"]), acc["stop"] - acc["start"]
+            equal = ((gained + 4 * length) / 5).cast("int")
+            return F.struct((equal * (EQUAL + PENALTY) - PENALTY * length).alias("score"), acc["start"].alias("start"), acc["stop"].alias("stop"))
+
+        return F.aggregate(F.sequence(F.lit(0), 2 * F.size(w["s"])), start, step, result)
+
+    # transform over one element: what stands in it is computed once
+    return F.get(F.transform(F.transform(F.array(sums), walk), widest), F.lit(0))
+
+
 def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_words, n_equal, similarity: the best leak of each pair (places count words)."""
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), word_hashes(F.col(text_col)).alias("hashes"))
     tests = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), word_hashes(F.col(item_text)).alias("hashes")).where(F.size("hashes") > 0)
     tests = stash(tests, "test-items")
     reach = min(m[-1] for m in MASKS)
-    keys = stash(seeded(tests, "item_id", "j"), "test-seeds")
+    masks = MASKS + (SHORT_MASKS if tests.where(F.size("hashes").isin(5, 6)).take(1) else ())
+    keys = stash(seeded(tests, "item_id", "j", masks), "test-seeds")
     keyed = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    hits = seeded(docs, "doc_id", "i").join(keyed, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).cast("int").alias("diagonal")).distinct()
+    hits = seeded(docs, "doc_id", "i", masks).join(keyed, "seed").select("doc_id", "item_id", (F.col("i") - F.col("j")).cast("int").alias("diagonal")).distinct()
 
     short = tests.where(F.size("hashes") <= reach).select("item_id", F.col("hashes"), F.size("hashes").alias("k"))
     sizes = sorted(r["k"] for r in short.select("k").distinct().collect())  # at most five lengths
@@ -96,9 +143,16 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
 
     hits = stash(hits, "seed-hits")
     texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    run = best_run(F.col("item_hashes"), F.col("hashes"), F.col("diagonal"))
+    ends = F.col("item_hashes"), F.col("hashes"), F.col("diagonal")
+    need = F.least(F.lit(min_words), F.col("item_words"))
+
+    def is_leak(run: str) -> Column:
+        n = F.col(f"{run}.stop") - F.col(f"{run}.start")
+        return (n >= need) & (F.round((F.col(f"{run}.score") + PENALTY * n) / (PENALTY + EQUAL)) >= LIKENESS * n)
+
     rows = hits.join(tests.withColumnRenamed("hashes", "item_hashes"), "item_id").join(texts, "doc_id")
-    rows = rows.select("doc_id", "item_id", "diagonal", F.size("item_hashes").alias("item_words"), run.alias("run"))
+    rows = rows.select("doc_id", "item_id", "diagonal", F.size("item_hashes").alias("item_words"), "item_hashes", "hashes", best_run(*ends).alias("best"))
+    rows = stash(rows.select("doc_id", "item_id", "diagonal", "item_words", F.when(is_leak("best"), F.struct("best.score", "best.start", "best.stop")).otherwise(longest_run(*ends)).alias("run")), "runs")
     n = F.col("run.stop") - F.col("run.start")
     equal = (F.col("run.score") + PENALTY * n) / (PENALTY + EQUAL)
     found = rows.select(

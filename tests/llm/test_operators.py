@@ -157,3 +157,32 @@ def test_keep_one_finds_all_near_copies(spark, hot, monkeypatch):
     bits = [(simhash.fingerprint(texts[a]) ^ simhash.fingerprint(texts[b])).bit_count() for a, b in near if sets[a] != sets[b]]
     assert sum(x > 2 for x in bits) > 20  # out of reach of the query's radius
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == sorted(set(root))
+
+
+def test_leaks_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items, texts = [], []
+    for k in range(150):
+        n = int(rng.choice([4, 5, 6, 7, 10, 13, 15, 16, 20, 25, 38]))
+        item = [f"i{k}w{j}" for j in range(n)]
+        first = int(rng.integers(n))
+        changed = range(first, min(first + n // 6, n)) if k % 3 == 0 else rng.choice(n, rng.integers(0, n // 4 + 1), replace=False)
+        copy = [w if j not in set(map(int, changed)) else "zz" for j, w in enumerate(item)]
+        items.append(item)
+        texts.append(["a", "b"] * int(rng.integers(0, 3)) + copy + ["c"] * int(rng.integers(0, 3)))
+    items.append([f"p{j}" for j in range(25)])
+    texts.append([f"p{j}" if j not in (11, 12, 13) else "zz" for j in range(25)])  # 11 words, then 11 more
+
+    def leaks(item, text):
+        for d in range(-len(item), len(text)):
+            same = [item[j] == text[j + d] for j in range(len(item)) if 0 <= j + d < len(text)]
+            for i in range(len(same)):
+                for j in range(i + min(13, len(item)), len(same) + 1):
+                    if 5 * sum(same[i:j]) >= 4 * (j - i):
+                        return True
+        return False
+
+    want = {k for k, (item, text) in enumerate(zip(items, texts, strict=True)) if leaks(item, text)}
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = decontam.leaks(docs(spark, [" ".join(x) for x in texts]), table).collect()
+    assert {r.doc_id for r in got} == want and len(want) > 60 and all(r.doc_id == r.item_id and r.similarity >= 0.8 and r.n_words >= min(13, len(items[r.item_id])) for r in got)
