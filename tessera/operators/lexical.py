@@ -71,8 +71,23 @@ def basic_search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "
     return tokenized(docs, doc, text, keep_stopwords=True).crossJoin(F.broadcast(q)).where(F.arrays_overlap("tokens", "q")).select("doc")
 
 
+def with_ranks(scores: DataFrame, name: str, parts: int = 64) -> DataFrame:
+    """doc and its rank from 1 by falling score, then doc, in all of (doc, score).
+
+    Rows are dealt out by about even bounds of the score, so that no task gets all of them; the ranks are exact for any bounds.
+    """
+    rows = scores.select("doc", F.round("score", 9).alias("score")).cache()
+    bounds = sorted(set(rows.approxQuantile("score", [i / parts for i in range(1, parts)], 0.005)))
+    part = sum((F.when(F.col("score") < b, 1).otherwise(0) for b in bounds), F.lit(0))
+    dealt = rows.withColumn("part", part)
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per part
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "doc"))
+    return dealt.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("doc", (F.col("before") + own).cast("int").alias(name))
+
+
 def fuse(bm25: DataFrame, semantic: DataFrame, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of (doc, score) with (doc, score); ranks from 1 in each list."""
-    lists = [d.select("doc", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "doc")).alias(n)) for d, n in ((bm25, "bm25_rank"), (semantic, "semantic_rank"))]
+    lists = [with_ranks(d, n) for d, n in ((bm25, "bm25_rank"), (semantic, "semantic_rank"))]
     part = [F.coalesce(1.0 / (k + F.col(n)), F.lit(0.0)) for n in ("bm25_rank", "semantic_rank")]
     return lists[0].join(lists[1], "doc", "full_outer").select("doc", "bm25_rank", "semantic_rank", (part[0] + part[1]).alias("score"))

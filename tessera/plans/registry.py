@@ -214,6 +214,6 @@ f AS (SELECT coalesce(b.doc, s.doc) AS doc_id, bm25_rank, semantic_rank, coalesc
 SELECT doc_id, bm25_rank::INTEGER AS bm25_rank, semantic_rank::INTEGER AS semantic_rank, round(score, 6) AS score FROM f ORDER BY round(f.score, 9) DESC, doc_id LIMIT 20""",
 )
 def _(spark, d):
-    lexical_hits = lexical.top(lexical.ranked(_bm25(spark, d), QUERY, "weight", False), 200)
+    lexical_hits = lexical.ranked(_bm25(spark, d), QUERY, "weight", False)
     fused = lexical.fuse(lexical_hits, _nearest(spark, d, 200).withColumnRenamed("vec_id", "doc"))
     return lexical.top(fused, 20).select(F.col("doc").alias("doc_id"), "bm25_rank", "semantic_rank", F.round("score", 6).alias("score"))

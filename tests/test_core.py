@@ -40,3 +40,18 @@ def test_chunks_and_dedup(spark):
     chunks = [(r.doc, r.chunk, r.text) for r in ingest.word_chunks(docs.where("doc_id = 1"), 3, 1).collect()]
     assert chunks == [(1, 0, "a  b c"), (1, 1, "c d e")]
     assert ingest.first_of_content(docs).count() == 2
+
+
+def test_fusion_takes_the_whole_lexical_list(spark, tmp_path):
+    from tessera.plans import registry
+
+    texts = [(i, "tion " + "x " * i) for i in range(400)]  # longer texts rank lower
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    vectors = [(i, [1.0, abs(i - 350) / 400 if i else 0.0]) for i in range(400)]  # after 0: 350, 349, 351, ...
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.doc_id: r for r in registry.QUERIES["rrf_fusion"](spark, str(tmp_path)).collect()}
+    assert (got[350].bm25_rank, got[350].semantic_rank) == (351, 2)
+    assert got[350].score == round(1 / (60 + 351) + 1 / 62, 6)
+    ranks = spark.range(1000).selectExpr("id AS doc", "cast(id % 7 AS double) AS score")
+    want = {i: k for k, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)), 1)}
+    assert {r.doc: r.k for r in lexical.with_ranks(ranks, "k").collect()} == want
