@@ -2,9 +2,11 @@
 
 A signature is an anchor, a common word that stands right before a content word, with the chain of
 CHAIN content words that starts there. The fingerprint of a text is its set of signature hashes (32
-bits each), sorted, as hexadecimal text; likeness is the Jaccard coefficient of two sets. Texts
-without a signature take every chain of content words without an anchor; with fewer content words
-than a chain, all words as one signature; without words the set is empty. Two empty sets are alike.
+bits each), sorted, as hexadecimal text; likeness is the Jaccard coefficient of two sets. In every
+text, chains without an anchor are signatures too if their hash is a multiple of SHARE, and so is the
+chain of least hash: what is taken of a passage does not hang on whether the text has anchors. Texts
+with fewer content words than a chain take all words as one signature; without words the set is empty.
+Two empty sets are alike.
 
 Near-duplicates: sets of length n can only reach likeness t with lengths from t n to n / t, so sets
 are dealt over partitions of the length axis whose width grows with the length; within a partition
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import numbered, read_table, stash
 
-CHAIN, BUCKET = 3, 512
+CHAIN, SHARE, BUCKET = 3, 4, 512
 #: Common function words of English, French, German and Spanish.
 ANCHORS = tuple(
     "the of and to in is that with for on are as be was by or from a an it he this at not but his her they we you "
@@ -49,11 +51,11 @@ def with_signatures(df: DataFrame, text_col: str, name: str) -> DataFrame:
     two = F.zip_with("_e", F.slice("_e", 2, n), lambda x, y: F.struct(x["a"].alias("a"), x["w"].alias("w"), y["w"].alias("v")))
     chains = F.zip_with(two, F.slice("_e", 3, n), lambda x, y: F.when(y["w"].isNotNull(), F.struct(x["a"].isin(stop).alias("a"), F.xxhash64(x["a"], x["w"], x["v"], y["w"]).bitwiseAND(low).alias("h"))))
     out = out.select(*kept, "_words", chains.alias("_c"))
-    anchored = F.transform(F.filter("_c", lambda c: c["a"]), lambda c: c["h"])
-    out = out.select(*kept, "_words", "_c", anchored.alias("_h"))
+    out = out.select(*kept, "_words", F.filter("_c", lambda c: c.isNotNull()).alias("_c"))
+    spots = F.transform(F.filter("_c", lambda c: c["a"] | (c["h"] % SHARE == 0)), lambda c: c["h"])
+    least = F.array_min(F.transform("_c", lambda c: c["h"]))
     whole = F.when(F.size("_words") > 0, F.array(F.xxhash64(F.lit("*"), F.array_join("_words", " ")).bitwiseAND(low))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    bare = F.transform(F.filter("_c", lambda c: c.isNotNull()), lambda c: c["h"])
-    chosen = F.when(F.size("_h") > 0, F.col("_h")).otherwise(F.when(F.size(bare) > 0, bare).otherwise(whole))
+    chosen = F.when(F.size("_c") > 0, F.concat(spots, F.array(least))).otherwise(whole)
     return out.select(*kept, F.array_sort(F.array_distinct(chosen)).alias(name))
 
 

@@ -186,3 +186,10 @@ def test_leaks_match_brute_force(spark):
     table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = decontam.leaks(docs(spark, [" ".join(x) for x in texts]), table).collect()
     assert {r.doc_id for r in got} == want and len(want) > 60 and all(r.doc_id == r.item_id and r.similarity >= 0.8 and r.n_words >= min(13, len(items[r.item_id])) for r in got)
+
+
+def test_spotsigs_stray_anchor(spark):
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words), " ".join([*words, "the", "end"]), " ".join(["the", *words[:5]]), " ".join(words[:5])]
+    sigs = [set(r.sigs) for r in spotsigs.with_next(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert len(sigs[0]) > 8 and len(sigs[0] & sigs[1]) >= 0.8 * len(sigs[0] | sigs[1]) and all(sigs)
