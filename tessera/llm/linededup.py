@@ -1,8 +1,9 @@
 """Line dedup: exact classes and a segment-partition edit join, DataFrame functions only.
 
-A line (trimmed, of MIN_CHARS characters or more) goes if an equal line, or one within its allowed
-edits, stands earlier in the corpus, in the order of (doc_id, line number). Allowed edits are 1 up
-to SHORT characters and TAU = 2 from there, by the shorter line of a pair.
+A line (trimmed, of `least` characters or more) goes if an equal line, or one within its allowed
+edits, stands earlier in the corpus, in the order of (doc_id, line number). Allowed edits are 0 below
+MIN_CHARS characters, 1 up to SHORT and TAU = 2 from there, by the shorter line of a pair. The query and
+the pipeline take all lines that are not blank (least=1).
 
 The edit join: a line is split into edits + 1 even segments; within the allowed edits another line
 has one of them unchanged, near its place. Index keys are (length, segment number, segment hash);
@@ -13,7 +14,7 @@ bound; no bit-parallel form exists among built-in functions).
 A repeated line beyond a tenth of a thousandth of all lines (so at most 10,000 of them: a bounded
 broadcast) sends keys from its first place only; others are combined before they are paired.
 
-Null text has no lines. Shorter and blank lines always stay. Rows with equal id and text count as
+Null text has no lines. Lines below `least` and blank lines always stay. Rows with equal id and text count as
 one document and get the same result. A null id is last in the corpus order.
 """
 
@@ -28,11 +29,11 @@ MIN_CHARS, SHORT, TAU = 20, 40, 2
 LAST = (1 << 63) - 1
 
 
-def lines_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines_of(df: DataFrame, id_col: str, text_col: str, least: int = MIN_CHARS) -> DataFrame:
     """doc_id (null: LAST), th, no, line of all lines that count."""
     text = F.col(text_col).cast("string")
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("th"), F.posexplode_outer(F.split(text, "\n")).alias("no", "line"))
-    return rows.withColumn("line", F.trim("line")).where(F.char_length("line") >= MIN_CHARS)
+    return rows.withColumn("line", F.trim("line")).where((F.char_length("line") >= least) & F.col("line").rlike(r"\S"))
 
 
 def _segments(length: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -59,14 +60,15 @@ def keys(rows: DataFrame) -> DataFrame:
     return every.select("k.key", "lid", "k.role")
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """places(doc_id, th, no, lid), firsts(lid, first) and links(u, v): distinct lines within their edits."""
-    all_lines = lines_of(df, id_col, text_col)
+    all_lines = lines_of(df, id_col, text_col, least)
     places = stash(all_lines.select("doc_id", "th", "no", F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(1), "line").alias("lid2")), "line-places")
     total = places.count()
     grouped = places.groupBy("lid", "lid2").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
     firsts = stash(grouped, "line-firsts")
     hot = F.broadcast(firsts.where(F.col("n") > max(1000, total // 10_000)).select("lid", F.col("first").alias("hot_first")))  # at most 10,000 rows
+    all_lines = all_lines.where(F.char_length("line") >= MIN_CHARS)  # shorter ones have no near lines
     rows = all_lines.withColumn("lid", F.xxhash64("line")).join(hot, "lid", "left")
     rows = rows.where("hot_first is null or (hot_first.doc_id = doc_id and hot_first.no = no)").select("lid", "line", F.char_length("line").alias("len"))
     by_key = Window.partitionBy("key")
@@ -83,9 +85,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple
     return places, firsts, near
 
 
-def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHARS) -> DataFrame:
     """doc_id, th, no, near (the line goes for a near line, not an equal one) of all lines that go."""
-    places, firsts, near = find(df, id_col, text_col)
+    places, firsts, near = find(df, id_col, text_col, least)
     one = firsts.groupBy("lid").agg(F.min("first").alias("first"))
     ends = near.join(one.select(F.col("lid").alias("u"), F.col("first").alias("fu")), "u").join(one.select(F.col("lid").alias("v"), F.col("first").alias("fv")), "v")
     later = ends.select(F.when(F.col("fu") < F.col("fv"), F.col("v")).otherwise(F.col("u")).alias("lid")).distinct().withColumn("late", F.lit(True))
@@ -95,9 +97,9 @@ def dropped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return rows.where(~is_first | F.coalesce("late", F.lit(False))).select("doc_id", "th", "no", is_first.alias("near")).distinct()
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_empty: bool = False, least: int = MIN_CHARS) -> DataFrame:
     """df with the text of each row less the lines that go; drop_empty: rows left without any text go too."""
-    lost = stash(dropped(df, id_col, text_col).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lost")), "lost-lines")
+    lost = stash(dropped(df, id_col, text_col, least).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lost")), "lost-lines")
     lost = lost.select(F.col("doc_id").alias("_lost_id"), F.col("th").alias("_lost_th"), "_lost")
     text = F.col(text_col).cast("string")
     joined = df.join(lost, (F.coalesce(df[id_col].cast("long"), F.lit(LAST)) == lost["_lost_id"]) & (F.xxhash64(text) == lost["_lost_th"]), "left")
@@ -110,7 +112,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_em
 
 def op10_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    lost = dropped(docs).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_dropped"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("no")).alias("lines"))
+    lost = dropped(docs, least=1).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_dropped"), F.count_if("near").alias("n_near"), F.array_sort(F.collect_set("no")).alias("lines"))
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("th"), F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).alias("n_lines"))
     out = rows.withColumn("key", F.coalesce("doc_id", F.lit(LAST))).join(lost.withColumnRenamed("doc_id", "key"), ["key", "th"], "left")

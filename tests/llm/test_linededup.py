@@ -48,3 +48,10 @@ def test_dropped_lines_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "Menu\n \nMenu"), (2, "Menu\n\t\nMena\n \n\t"), (3, "a line of more than twenty\na line of more than twenti")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_dropped, r.dropped_lines) for r in linededup.op10_segment_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (1, "2"), 2: (1, "0"), 3: (1, "1")}
