@@ -53,6 +53,36 @@ def drop_stash(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, whatever it has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], count: str, most: int = 10_000) -> DataFrame:
+    """The inner join of left with right (unique on keys; `count`: how many rows of left have the key).
+
+    Keys with more than a tenth of a thousandth of the counted rows are at most `most`, so a broadcast of these is
+    bounded; only the others are shuffled, and no key meets in one task.
+    """
+    total = right.agg(F.sum(count)).first()[0] or 0
+    hot = max(1000, total // most)
+    keys, more = list(keys), [c for c in right.columns if c not in (*keys, count)]
+    flag, value = spare(left, "hot", "value")
+    often = right.where(F.col(count) > hot).select(*keys, F.struct(F.lit(1).alias(flag), *more).alias(value))
+    both = left.join(F.broadcast(often), keys, "left")
+    names = [c for c in left.columns if c not in keys]
+    near = both.where(F.col(value).isNotNull()).select(*keys, *names, *(F.col(f"{value}.{c}") for c in more))
+    far = both.where(F.col(value).isNull()).drop(value).join(right.where(F.col(count) <= hot).select(*keys, *more), keys)
+    return near.union(far.select(*keys, *names, *more))
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str, total: str | None = None) -> tuple[DataFrame, int]:
     """df with `row_no`, its place (from 0) in the global order, and the row count.
 
@@ -90,12 +120,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).where("n > 0").select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.where("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stash(large, "edges")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_hot(large, low, ["u"], "n").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         drop_stash(now)
+        drop_stash(large)
         now, was = after, mark
         mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == was or not mark[0]:

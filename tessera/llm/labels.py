@@ -11,8 +11,7 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce((F.crc32(F.col(id_col).cast("string").cast("binary")) % 5).cast("int"), F.lit(0))
 
 
-def training_rows(df: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
-    """id, text, label (0 or 1) of labelled rows outside fold 0; an id with two labels takes the larger."""
-    known = labels.where(f"{label} is not null").groupBy(F.col("doc_id").alias("_label_id")).agg((F.max(label) > 0).cast("int").alias("label"))
-    slim = df.where(fold(id_col) != 0).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return slim.join(known.where(fold("_label_id") != 0), slim["id"] == known["_label_id"]).select("id", "text", "label")
+def training_ids(df: DataFrame, labels: DataFrame, label: str, id_col: str) -> DataFrame:
+    """id, label (0 or 1) of the labelled ids of df outside fold 0; an id with two labels takes the larger. No text moves."""
+    known = labels.where(f"{label} is not null").groupBy(F.col("doc_id").alias("id")).agg((F.max(label) > 0).cast("int").alias("label"))
+    return known.where(fold("id") != 0).join(df.select(F.col(id_col).alias("id")), "id", "left_semi")

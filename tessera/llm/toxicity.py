@@ -4,19 +4,22 @@ A word is the mean of the vectors of its features: the word itself and its chara
 with boundary marks, hashed into BUCKETS. A document is the mean of its words. A softmax over two
 classes reads it. A misspelling never seen shares most n-grams with the word it comes from.
 
-The fit takes at most SAMPLE labelled rows of class 1 and three times as many of class 0, those with
-the smallest hash of the id, and runs in one task. Averages are scaled by SCALE, and the bias starts
-at the rarer class's small odds, so that only words that tell toxic rows apart move far.
-Scoring takes every
-whole text: as mean and softmax are linear up to the last step, a word adds one number, which
-workers remember for up to MEMO words.
+The fit takes at most SAMPLE labelled ids of class 1 and three times as many of class 0, those with
+the smallest hash of the id. Ids are chosen without their texts; the texts of the chosen are turned
+into bags (at most BUCKETS pairs each) where they lie, and only the bags go to the one task of the
+fit. Averages are scaled by SCALE, and the bias starts at the rarer class's small odds, so that only
+words that tell toxic rows apart move far. Scoring takes every whole text: as mean and softmax are
+linear up to the last step, a word adds one number, which workers remember for up to MEMO words.
 
 Null and empty texts have no words and score as the bias alone. Without labelled rows of both
-classes every score is the share of class 1 (0 if there are none). Repeated rows score alike.
+classes every score is the share of class 1 (0 if there are none). Repeated rows score alike; in the
+fit an id counts once, with the text of least hash. Null ids train nothing. Very long texts are read
+whole. Ties of the id's hash go to the smaller id.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -25,11 +28,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
-from .labels import fold, training_rows
+from .common import read_table, stash
+from .labels import fold, training_ids
 
 BUCKETS, DIM, SAMPLE, EPOCHS, BATCH, RATE, SCALE, BIAS, MEMO = 1 << 18, 4, 1500, 5, 64, 0.3, 100.0, -4.0, 500_000
 _WORD = re.compile(r"\w+")
@@ -55,31 +59,34 @@ class Model:
     bias: float
 
 
+def bag(text: str | None, known: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a text, ascending, and the weight of each."""
+    known = {} if known is None else known
+    counts = Counter(words_of(text or ""))
+    total = sum(counts.values()) or 1
+    at, much = [], []
+    for w, c in counts.items():
+        if (f := known.get(w)) is None:
+            f = known[w] = np.array(features(w), dtype=np.int32)
+        at.append(f)
+        much.append(np.full(len(f), c / len(f) / total, dtype=np.float32))
+    if not at:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    ids, where = np.unique(np.concatenate(at), return_inverse=True)
+    return ids.astype(np.int32), (SCALE * np.bincount(where, weights=np.concatenate(much))).astype(np.float32)
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
+    return fit_bags([bag(t) for t in texts], labels, seed)
+
+
+def fit_bags(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model:
     """Adagrad on the cross entropy of the softmax, embeddings and output together."""
     labels = np.asarray(labels, dtype=np.int64)
     if len(set(labels.tolist())) < 2:
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(BUCKETS, np.float32), 30.0 * (2 * share - 1))
     rng = np.random.default_rng(seed)
-    known: dict[str, tuple[np.ndarray, float]] = {}
-    docs = []
-    for text in texts:
-        counts = Counter(words_of(text))
-        total = sum(counts.values()) or 1
-        at, much = [], []
-        for w, c in counts.items():
-            if w not in known:
-                f = np.array(features(w), dtype=np.int32)
-                known[w] = f, 1.0 / len(f)
-            f, share = known[w]
-            at.append(f)
-            much.append(np.full(len(f), c * share / total, dtype=np.float32))
-        ids = np.concatenate(at) if at else np.zeros(0, np.int32)
-        dense = np.bincount(ids, weights=np.concatenate(much) if much else None, minlength=BUCKETS)
-        ids = np.flatnonzero(dense).astype(np.int32)
-        docs.append((ids, (SCALE * dense[ids]).astype(np.float32)))
-    known.clear()
     emb = (rng.standard_normal((BUCKETS, DIM)) * 0.01).astype(np.float32)
     out, bias = (rng.standard_normal((DIM, 2)) * 0.5).astype(np.float32), np.array([-BIAS / 2, BIAS / 2], np.float32)
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-2, np.float32), np.full(out.shape, 1e-6, np.float32), np.full(2, 1e-6, np.float32)
@@ -111,27 +118,47 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model:
 
 def train(df: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """The model from a bounded sample of labelled rows; the fit runs on an executor."""
-    rows = training_rows(df, labels, label, id_col, text_col)
+    ids = training_ids(df, labels, label, id_col)
 
     def first(part: DataFrame, n: int) -> DataFrame:
-        return part.orderBy(F.xxhash64("id"), "id", "text").limit(n)
+        return part.orderBy(F.xxhash64("id"), "id").limit(n)
+
+    chosen = F.broadcast(stash(first(ids.where("label = 1"), sample).union(first(ids.where("label = 0"), 3 * sample)), "toxic-ids"))  # at most 4 * sample rows
+    slim = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id").withColumn("th", F.xxhash64("text"))
+    one = F.broadcast(slim.groupBy("id").agg(F.min("th").alias("th")))  # a row for each chosen id
 
-    both = first(rows.where("label = 1"), sample).union(first(rows.where("label = 0"), 3 * sample))
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                if len(known) > MEMO:
+                    known.clear()
+                at, much = bag(b.column(2)[i].as_py(), known)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([at.tobytes()], pa.binary()), pa.array([much.tobytes()], pa.binary())], names=["id", "label", "at", "much"])
+
+    id_type = slim.schema["id"].dataType.simpleString()
+    made = slim.join(one, ["id", "th"]).select("id", "label", "text").mapInArrow(bags, f"id {id_type}, label int, at binary, much binary").dropDuplicates(["id"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "label", "text"], kind="stable")
-        model = fit(pdf["text"].tolist(), pdf["label"].to_numpy())
+        pdf = pdf.sort_values("id", kind="stable")
+        docs = [(np.frombuffer(a, np.int32), np.frombuffer(m, np.float32)) for a, m in zip(pdf["at"], pdf["much"], strict=True)]
+        model = fit_bags(docs, pdf["label"].to_numpy())
         return pd.DataFrame({"weight": [model.weight.astype(np.float32).tobytes()], "bias": [model.bias]})
 
-    got = both.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "weight binary, bias double").collect()
+    got = made.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(run, "weight binary, bias double").collect()
     return Model(np.frombuffer(got[0]["weight"], np.float32), got[0]["bias"]) if got else fit([], np.zeros(0))
 
 
-_memo: dict[int, dict[str, float]] = {}
+_memo: dict[bytes, tuple[dict[str, float], list[float]]] = {}
 
 
-def _margins(model: Model, texts: Iterator[str | None], memo: dict[str, float]) -> list[float]:
-    out, weight = [], model.weight.tolist()
+def score_texts(model: Model, texts: Iterator[str | None]) -> list[float]:
+    key = hashlib.sha256(model.weight.tobytes() + repr(model.bias).encode()).digest()
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = {}, model.weight.tolist()
+    memo, weight = _memo[key]
+    out = []
     for text in texts:
         words = words_of(text or "")
         if len(memo) > MEMO:
@@ -140,15 +167,6 @@ def _margins(model: Model, texts: Iterator[str | None], memo: dict[str, float])
             f = features(w)
             memo[w] = sum([weight[k] for k in f]) / len(f)
         out.append(model.bias + (sum(map(memo.__getitem__, words)) / len(words) if words else 0.0))
-    return out
-
-
-def score_texts(model: Model, texts: Iterator[str | None]) -> list[float]:
-    key = hash((model.bias, model.weight[:4096].tobytes()))
-    if key not in _memo:
-        _memo.clear()
-        _memo[key] = {}
-    out = _margins(model, texts, _memo[key])
     return (1.0 / (1.0 + np.exp(-np.clip(out, -50, 50)))).tolist()
 
 

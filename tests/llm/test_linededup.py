@@ -55,3 +55,37 @@ def test_short_lines(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.n_dropped, r.dropped_lines) for r in linededup.op10_segment_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: (1, "2"), 2: (1, "0"), 3: (1, "1")}
+
+
+def test_within_matches_edit_distance(spark):
+    rng = random.Random(11)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice("abc ") for _ in range(rng.randint(1, 30))]
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = [rng.choice("abcx")] * rng.randint(0, 1)
+        pairs.append(("".join(a), "".join(b)))
+    rows = spark.createDataFrame(pairs, "a string, b string").where("b <> ''")
+    for r in rows.select("a", "b", linededup.within(rows["a"], rows["b"]).alias("d")).collect():
+        want = distance(r.a, r.b)
+        assert r.d == (want if want <= linededup.TAU else None), r
+
+
+def test_group_of_near_copies_and_columns_of_any_name(spark, monkeypatch):
+    rng = random.Random(4)
+    base = "a line that a very large group of documents shares with small changes in it"
+    lines = []
+    for _ in range(300):
+        chars = list(base)
+        for _ in range(rng.randint(0, 2)):
+            chars[rng.randrange(len(chars))] = rng.choice("xyz")
+        lines.append("".join(chars))
+    docs = [(i, x) for i, x in enumerate(lines)] + [(None, base), (7, lines[7]), (400, base + "\t\r"), (401, "w " * 30_000)]
+    df = spark.createDataFrame([(i, x, 1, 2, 3) for i, x in docs], "doc_id long, text string, _gone int, _key int, _th int")
+    want = brute([(linededup.LAST if i is None else i, x.rstrip("\t\r")) for i, x in sorted(set((i if i is not None else linededup.LAST, x) for i, x in docs))])
+    got = {(r.doc_id, r.no) for r in linededup.dropped(df).collect()}
+    assert got == want and len(got) > 200
+    out = linededup.dedup(df)
+    assert out.columns == df.columns and out.count() == len(docs)
