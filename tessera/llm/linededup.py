@@ -99,7 +99,6 @@ def within(a: Column, b: Column) -> Column:
     The state holds for e = 0 .. TAU edits the set of diagonals d (bit d + TAU) with D[i, i + d] <= e; a character of `a`
     moves all diagonals at once.
     """
-    x, y = F.split(a, ""), F.split(b, "")
 
     def shifted(v: Column, by: int) -> Column:
         return F.shiftleft(v, by) if by >= 0 else F.shiftright(v, -by)
@@ -107,9 +106,9 @@ def within(a: Column, b: Column) -> Column:
     full = (1 << (2 * TAU + 1)) - 1
     start = F.struct(*(F.lit(sum(1 << (d + TAU) for d in range(e + 1))).alias(f"e{e}") for e in range(TAU + 1)))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.get(x, i)
-        same = sum((F.when(F.get(y, i + d) == c, 1 << (d + TAU)).otherwise(0) for d in range(-TAU, TAU + 1)), F.lit(0))
+    def step(ends: Column, acc: Column, i: Column) -> Column:
+        c = F.get(ends["x"], i)
+        same = sum((F.when(F.get(ends["y"], i + d) == c, 1 << (d + TAU)).otherwise(0) for d in range(-TAU, TAU + 1)), F.lit(0))
         row = F.struct(same.alias("m"), acc.alias("s"))
 
         def levels(r: Column) -> Column:
@@ -122,9 +121,11 @@ def within(a: Column, b: Column) -> Column:
         return F.get(F.transform(F.array(row), levels), F.lit(0))
 
     n, m = F.char_length(a), F.char_length(b)
-    last = F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
+    # transform over one element: what stands in it is computed once, not at every character
+    ends = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.sequence(F.lit(0), n - 1).alias("i")))
+    last = F.transform(ends, lambda p: F.aggregate(p["i"], start, lambda acc, i: step(p, acc, i)))
     end = F.call_function("shiftleft", F.lit(1), m - n + TAU)
-    edits = F.get(F.transform(F.array(last), lambda s: F.coalesce(*(F.when(s[f"e{e}"].bitwiseAND(end) != 0, e) for e in range(TAU + 1)))), F.lit(0))
+    edits = F.get(F.transform(last, lambda s: F.coalesce(*(F.when(s[f"e{e}"].bitwiseAND(end) != 0, e) for e in range(TAU + 1)))), F.lit(0))
     return F.when(F.abs(m - n) <= TAU, edits)
 
 

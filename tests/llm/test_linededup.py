@@ -19,7 +19,7 @@ def brute(docs):
             line = line.strip(" ")
             if len(line) < linededup.MIN_CHARS:
                 continue
-            if any(distance(line, s) <= (1 if min(len(s), len(line)) < linededup.SHORT else 2) for s in seen):
+            if any(abs(len(line) - len(s)) <= 2 and distance(line, s) <= (1 if min(len(s), len(line)) < linededup.SHORT else 2) for s in seen):
                 out.add((doc_id, no))
             seen.append(line)
     return out
