@@ -4,14 +4,18 @@ Scores, pieces and ties are those of `unigram.Lattice`. A document of over CHUNK
 into chunks. A boundary state is how far the last piece of earlier chunks reaches into a chunk; a
 chunk's transfer matrix has the best score from each state at its start to each at its end, over
 pieces that start in it. Matrices combine associatively in the (max, +) semiring, within blocks and
-then over blocks; going back over the products fixes the state at every boundary, and each chunk is
-then traced on its own, between its two states. No piece crosses from a letter into a meta symbol,
-so inside a chunk all paths meet at its cuts: a matrix is the part to the first cut, the memo's sum,
-and the part from the last. A chunk without a cut runs the lattice from every state.
-
-Null and empty texts have no ids and decode to the empty text. A text with the meta symbol itself
-decodes with a space there, as the library's does; `text_crc32` is of the text with that change.
-Repeated rows are encoded each. Ties of whole paths across a chunk's end may fall either way.
+then over blocks. That gives each chunk the exact forward scores at its start, from which it tells
+for each of its end states the start state of the best path, ties as in one pass; these maps are
+combined from the last chunk to the first, and each chunk is then traced on its own between its two
+states. The ids are those of one pass over the text whatever the chunk length. No piece crosses from
+a letter into a meta symbol, so inside a chunk all paths meet at its cuts: a matrix is the part to
+the first cut, the memo's sum, and the part from the last. A chunk without a cut runs the lattice
+from every state.
+
+Workers take texts in slices of SLICE characters and chunks one by one, and remember words of up to
+LONG characters. Null and empty texts have no ids and decode to the empty text. A text with the meta
+symbol itself decodes with a space there, as the library's does; `text_crc32` is of the text with
+that change. Repeated rows are encoded each, null ids too. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import read_table, stash
 from .unigram import META, Lattice, lattice, model_bytes, pre_tokens
 
-CHUNK, BLOCK, MEMO, NONE = 32_768, 64, 300_000, -(1 << 60)
+CHUNK, BLOCK, MEMO, NONE, SLICE, LONG = 32_768, 64, 200_000, -(1 << 60), 1 << 18, 200
 
 
 class Encoder:
-    """Ids and scores of words, remembered in two generations of MEMO words."""
+    """Ids and scores of words, remembered in two generations of MEMO words of at most LONG characters."""
 
     def __init__(self, lat: Lattice) -> None:
         self.lat, self.memo, self.old = lat, {}, {}
@@ -45,19 +49,24 @@ class Encoder:
         memo.update({w: old[w] for w in known})
         memo.update(self.lat.trie_ids(new - known))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each normalized text, as bytes."""
-        split = [pre_tokens(t) for t in texts]
-        words = set().union(*split)
-        if not words <= self.memo.keys():
-            self._learn(words)
-        find = self.memo.__getitem__
-        return [b"".join(map(find, words)) for words in split]
+    def _found(self, text: str) -> list[tuple[bytes, int]]:
+        """(ids, score) of each pre-token."""
+        words = pre_tokens(text)
+        new = set(words)
+        if not new <= self.memo.keys():
+            long = {w for w in new if len(w) > LONG}
+            self._learn(new - long)
+            if long:
+                own = {w: self.lat.best_bytes(w) for w in long}
+                return [own[w] if w in own else self.memo[w] for w in words]
+        return list(map(self.memo.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a normalized text, as bytes."""
+        return b"".join([x[0] for x in self._found(text)])
 
     def score(self, text: str) -> int:
-        lat = self.lat
-        ids = np.frombuffer(self.encode([text])[0], "<i4").tolist()
-        return sum(map(lat.scores.__getitem__, ids)) if not lat.has_bytes(ids) else sum(lat.best(w)[0] for w in pre_tokens(text))
+        return sum([x[1] for x in self._found(text)])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -78,24 +87,35 @@ def _from(lat: Lattice, text: str, start: int, core: int) -> np.ndarray:
         out[start - core] = 0
         return out
     n = min(len(text), core + width - 1)
-    score: list = [None] * (n + 1)
-    score[start] = 0
-    for i in range(start, core):
-        if (at := score[i]) is None:
-            continue
-        node, j = lat.trie, i
-        while j < n and (node := node.get(text[j])) is not None:
-            j += 1
-            if (s := node.get("")) is not None and (score[j] is None or at + s > score[j]):
-                score[j] = at + s
-        if text[i] not in lat.ids and (score[i + 1] is None or at + lat.unk_score > score[i + 1]):
-            score[i + 1] = at + lat.unk_score
+    score, _ = lat.forward(text, n, {start: 0}, core)
     for j in range(core, n + 1):
         if score[j] is not None:
             out[j - core] = score[j]
     return out
 
 
+def starts_of(enc: Encoder, text: str, core: int, entry: np.ndarray) -> np.ndarray:
+    """For each end state of a chunk the start state of the best path, given the forward scores `entry` at its start.
+
+    Ties as in one pass: a score that comes from before the chunk has the earlier start. -1: no path.
+    """
+    lat = enc.lat
+    width = lat.longest
+    first = _cut(text, 1, 1, core)
+    n = first if first is not None else min(len(text), core + width - 1)
+    own = {a: int(v) for a, v in enumerate(entry) if v > NONE and a <= n}
+    score, back = lat.forward(text, n, own, n if first is not None else core)
+
+    def origin(j: int) -> int:
+        while back[j] >= 0:
+            j = back[j]
+        return j
+
+    if first is not None:
+        return np.full(width, origin(first), dtype=np.int32)
+    return np.array([origin(core + z) if core + z <= n and score[core + z] is not None else -1 for z in range(width)], dtype=np.int32)
+
+
 def transfer(enc: Encoder, text: str, core: int) -> np.ndarray:
     """(states, states) best scores over a chunk of `core` characters; text also has those that follow it."""
     lat = enc.lat
@@ -125,17 +145,12 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a[:, :, None] + b[None, :, :]).max(axis=1), NONE)
 
 
-def boundary_states(matrices: list[np.ndarray], start: int, end: int) -> list[int]:
-    """The states before each matrix and after the last, on a best path from start to end."""
-    forward = [np.full(len(matrices[0]), NONE, dtype=np.int64)] if matrices else []
-    if forward:
-        forward[0][start] = 0
+def entries(matrices: list[np.ndarray], entry: np.ndarray) -> list[np.ndarray]:
+    """The forward scores before each matrix, from those before the first."""
+    out = [entry]
     for m in matrices[:-1]:
-        forward.append(np.maximum((forward[-1][:, None] + m).max(axis=0), NONE))
-    states = [end]
-    for f, m in zip(reversed(forward), reversed(matrices), strict=True):
-        states.append(int(np.argmax(f + m[:, states[-1]])))
-    return states[::-1]
+        out.append(np.maximum((out[-1][:, None] + m).max(axis=0), NONE))
+    return out
 
 
 def _ids_batch(ids: list, names: tuple[str, ...], raws: list[bytes], *more: pa.Array) -> pa.RecordBatch:
@@ -153,28 +168,40 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                p = b.slice(lo, 512)
-                raws = enc.encode([enc.lat.normalize(t) for t in p.column(1).to_pylist()])
-                yield _ids_batch([p.column(0)], ("doc_id", "ids", "text_crc32"), raws, p.column(2))
+            lo = 0
+            while lo < b.num_rows:
+                raws, seen, hi = [], 0, lo
+                while hi < b.num_rows and seen < SLICE:
+                    t = b.column(1)[hi].as_py()
+                    raws.append(enc.encode(enc.lat.normalize(t)))
+                    seen, hi = seen + len(t) + 64, hi + 1
+                yield _ids_batch([b.column(0).slice(lo, hi - lo)], ("doc_id", "ids", "text_crc32"), raws, b.column(2).slice(lo, hi - lo))
+                lo = hi
 
     small = slim.where(F.char_length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>, text_crc32 long")
 
-    giants = stash(slim.where(F.char_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id()), "giants")
-    width = Lattice(model).longest
-    normal = F.concat(F.lit(META), F.translate("text", " ", META))
-    n = F.char_length("text") + 1
-    parts = giants.select("uid", n.alias("n"), normal.alias("text"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).alias("no"))
-    parts = parts.select("uid", "no", F.least(F.lit(chunk), F.col("n") - F.col("no") * chunk).cast("int").alias("core"), F.substring(F.col("text"), F.col("no") * chunk + 1, F.lit(chunk + width - 1)).alias("part"))
-    parts = parts.repartition("uid", "no")
+    width = lattice(model).longest
+    giants = slim.where(F.char_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                t = Lattice.normalize(b.column(1)[i].as_py())
+                for no, lo in enumerate(range(0, len(t), chunk)):
+                    row = [pa.array([x], k) for x, k in ((no, pa.int32()), (min(chunk, len(t) - lo), pa.int32()), (t[lo : lo + chunk + width - 1], pa.string()))]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), b.column(3).slice(i, 1), *row], names=["doc_id", "text_crc32", "uid", "no", "core", "part"])
+
+    # written once: uids stay as they are, and every later step reads chunks, never a whole giant
+    parts = stash(giants.select("doc_id", "text", "text_crc32", "uid").mapInArrow(cut_up, f"doc_id {id_type}, text_crc32 long, uid long, no int, core int, part string").repartition("uid", "no"), "giant-chunks")
+    named = parts.where("no = 0").select("uid", "doc_id", "text_crc32")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for b in batches:
-            got = [transfer(enc, t, c).tobytes() for t, c in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            got = [transfer(enc, b.column(3)[i].as_py(), b.column(2)[i].as_py()).tobytes() for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["uid", "no", "m"])
 
-    moves = stash(parts.mapInArrow(matrices, "uid long, no int, m binary"), "transfers")
+    moves = stash(parts.select("uid", "no", "core", "part").mapInArrow(matrices, "uid long, no int, m binary"), "transfers")
 
     def load(pdf: pd.DataFrame) -> list[np.ndarray]:
         return [np.frombuffer(m, np.int64).reshape(width, width) for m in pdf["m"]]
@@ -186,31 +213,51 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             total = m if total is None else times(total, m)
         return pd.DataFrame({"uid": pdf["uid"].iloc[:1], "block": pdf["block"].iloc[:1], "m": [total.tobytes()]})
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+    def block_entries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        s = boundary_states(load(pdf), 0, 0)
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "block": pdf["block"].to_numpy(), "start": s[:-1], "stop": s[1:]})
+        start = np.full(width, NONE, dtype=np.int64)
+        start[0] = 0
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "block": pdf["block"].to_numpy(), "entry": [e.tobytes() for e in entries(load(pdf), start)]})
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
-        s = boundary_states(load(pdf), int(pdf["start"].iloc[0]), int(pdf["stop"].iloc[0]))
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "no": pdf["no"].to_numpy(), "start": s[:-1], "stop": s[1:]})
+        got = entries(load(pdf), np.frombuffer(pdf["entry"].iloc[0], np.int64))
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "no": pdf["no"].to_numpy(), "entry": [e.tobytes() for e in got]})
 
     blocks = moves.withColumn("block", F.floor(F.col("no") / BLOCK).cast("int"))
     products = blocks.groupBy("uid", "block").applyInPandas(product, "uid long, block int, m binary")
-    block_ends = products.groupBy("uid").applyInPandas(ends, "uid long, block int, start int, stop int")
-    states = blocks.join(block_ends, ["uid", "block"]).groupBy("uid", "block").applyInPandas(inside, "uid long, no int, start int, stop int")
+    block_starts = products.groupBy("uid").applyInPandas(block_entries, "uid long, block int, entry binary")
+    known = blocks.join(block_starts, ["uid", "block"]).groupBy("uid", "block").applyInPandas(inside, "uid long, no int, entry binary")
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(model)
+        for b in batches:
+            got = [starts_of(enc, b.column(3)[i].as_py(), b.column(2)[i].as_py(), np.frombuffer(b.column(4)[i].as_py(), np.int64)).tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.binary())], names=["uid", "no", "starts"])
+
+    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+        """From the last chunk to the first; a document of Spark's largest string has 65,536 chunks of 4 x width bytes here."""
+        pdf = pdf.sort_values("no", ascending=False)
+        stop, rows = 0, []
+        for no, m in zip(pdf["no"], pdf["starts"], strict=True):
+            start = int(np.frombuffer(m, np.int32)[stop])
+            rows.append((no, start, stop))
+            stop = start
+        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "no": [r[0] for r in rows], "start": [r[1] for r in rows], "stop": [r[2] for r in rows]})
+
+    mapped = parts.join(known, ["uid", "no"]).select("uid", "no", "core", "part", "entry").mapInArrow(maps, "uid long, no int, starts binary")
+    fixed = stash(mapped.groupBy("uid").applyInPandas(states, "uid long, no int, start int, stop int"), "chunk-states")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for b in batches:
-            p = b.to_pydict()
-            raws = enc.encode([t[a : c + z] for t, c, a, z in zip(p["part"], p["core"], p["start"], p["stop"], strict=True)])
-            yield _ids_batch([b.column(0), b.column(1)], ("uid", "no", "ids"), raws)
+            for i in range(b.num_rows):
+                core, part, start, stop = (b.column(k)[i].as_py() for k in (2, 3, 4, 5))
+                yield _ids_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1)], ("uid", "no", "ids"), [enc.encode(part[start : core + stop])])
 
-    pieces = parts.join(states, ["uid", "no"]).select("uid", "no", "core", "part", "start", "stop").mapInArrow(traced, "uid long, no int, ids array<int>")
-    joined = pieces.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return small.union(giants.join(joined, "uid").select("doc_id", "ids", "text_crc32"))
+    pieces = parts.join(fixed, ["uid", "no"]).select("uid", "no", "core", "part", "start", "stop").mapInArrow(traced, "uid long, no int, ids array<int>")
+    joined = pieces.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))  # one document, a row of the result
+    return small.union(named.join(joined, "uid").select("doc_id", "ids", "text_crc32"))
 
 
 def decode_ids(lat: Lattice, ids: np.ndarray) -> str:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 META, MEMO = "▁", 400_000
+#: Characters of texts that are counted together, and the longest word that is remembered.
+SLICE, LONG = 1 << 21, 200
 PIECES = "piece_bpe_32k.model"
 _WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 
@@ -75,17 +77,8 @@ class Lattice:
 
     def best(self, word: str) -> tuple[int, list[int]]:
         """The best score and ids of a string."""
-        n, trie = len(word), self.trie
-        score: list = [0] + [None] * n
-        back = [0] * (n + 1)
-        for i in range(n):
-            at, node, j = score[i], trie, i
-            while j < n and (node := node.get(word[j])) is not None:
-                j += 1
-                if (s := node.get("")) is not None and (score[j] is None or at + s > score[j]):
-                    score[j], back[j] = at + s, i
-            if word[i] not in self.ids and (score[i + 1] is None or at + self.unk_score > score[i + 1]):
-                score[i + 1], back[i + 1] = at + self.unk_score, i
+        n = len(word)
+        score, back = self.forward(word, n, {0: 0}, n)
         out, j = [], n
         while j:
             piece = word[back[j] : j]
@@ -124,11 +117,11 @@ class Lattice:
         return out
 
 
-    def trie_ids(self, words: Iterable[str]) -> dict[str, bytes]:
-        """The ids of each word, as bytes (int32); prefixes are shared as in trie_counts."""
+    def trie_ids(self, words: Iterable[str]) -> dict[str, tuple[bytes, int]]:
+        """The ids (bytes of int32) and score of each word; prefixes are shared as in trie_counts. Keeps back pointers, not paths."""
         out, root, known, unk_score = {}, self.trie, self.ids, self.unk_score
         raw = self.raw_ids
-        score, ids, alive = [0], [b""], [[(root, 0, b"")]]
+        score, back, alive = [0], [(0, b"")], [[(root, 0, 0)]]  # back: where the last piece starts, and its ids
         last = ""
         for word in sorted(set(words)):
             keep = 0
@@ -136,24 +129,55 @@ class Lattice:
                 if a != b:
                     break
                 keep += 1
-            del score[keep + 1 :], ids[keep + 1 :], alive[keep + 1 :]
+            del score[keep + 1 :], back[keep + 1 :], alive[keep + 1 :]
             for c in word[keep:]:
-                best, path, going = None, b"", []
-                for node, s, k in alive[-1]:
+                best, link, going = None, None, []
+                for node, s, at in alive[-1]:
                     if (to := node.get(c)) is not None:
-                        going.append((to, s, k))
+                        going.append((to, s, at))
                         if (own := to.get("")) is not None and (best is None or s + own > best):
-                            best, path = s + own, k + raw[to["id"]]
+                            best, link = s + own, (at, raw[to["id"]])
+                depth = len(score)
                 if c not in known and (best is None or score[-1] + unk_score > best):
-                    best, path = score[-1] + unk_score, ids[-1] + b"".join([raw[i] for i in self.unknown_ids(c)])
-                going.append((root, best, path))
+                    best, link = score[-1] + unk_score, (depth - 1, b"".join([raw[i] for i in self.unknown_ids(c)]))
+                going.append((root, best, depth))
                 score.append(best)
-                ids.append(path)
+                back.append(link)
                 alive.append(going)
-            out[word] = ids[-1]
+            parts, j = [], len(word)
+            while j:
+                j, piece = back[j]
+                parts.append(piece)
+            out[word] = b"".join(reversed(parts)), score[-1]
             last = word
         return out
 
+    def forward(self, text: str, n: int, entry: dict[int, int], core: int) -> tuple[list, list[int]]:
+        """Scores and back pointers of the places up to n, from `entry` scores, over pieces that start before core.
+
+        A back pointer is the start of the last piece, or -1 where the entry's score stands.
+        """
+        score: list = [None] * (n + 1)
+        back = [-1] * (n + 1)
+        for at, s in entry.items():
+            score[at] = s
+        known, unk_score = self.ids, self.unk_score
+        for i in range(min(core, n)):
+            if (at := score[i]) is None:
+                continue
+            node, j = self.trie, i
+            while j < n and (node := node.get(text[j])) is not None:
+                j += 1
+                if (s := node.get("")) is not None and (score[j] is None or at + s > score[j]):
+                    score[j], back[j] = at + s, i
+            if text[i] not in known and (score[i + 1] is None or at + unk_score > score[i + 1]):
+                score[i + 1], back[i + 1] = at + unk_score, i
+        return score, back
+
+    def best_bytes(self, word: str) -> tuple[bytes, int]:
+        score, ids = self.best(word)
+        return b"".join([self.raw_ids[i] for i in ids]), score
+
 
 _lattices: dict[int, Lattice] = {}
 
@@ -173,20 +197,28 @@ def pre_tokens(text: str) -> list[str]:
 def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens for every row, in its own partition: no shuffle.
 
-    Null and empty texts have no tokens. Repeated rows count each.
+    Null and empty texts have no tokens. Repeated rows count each, null ids too; an empty table gives an
+    empty result. Texts of any length are counted whole; words of over LONG characters are not remembered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(model)
         memo = lat.counts
         for b in batches:
-            counts = []
-            for lo in range(0, b.num_rows, 1024):
-                docs = [pre_tokens(lat.normalize(t or "")) for t in b.column(1).slice(lo, 1024).to_pylist()]
+            counts, lo = [], 0
+            while lo < b.num_rows:
+                docs, seen = [], 0
+                while lo < b.num_rows and seen < SLICE:
+                    text = b.column(1)[lo].as_py() or ""
+                    docs.append(pre_tokens(lat.normalize(text)))
+                    seen, lo = seen + len(text) + 64, lo + 1
                 if len(memo) > MEMO:
                     memo.clear()
-                memo.update(lat.trie_counts(set().union(*docs).difference(memo)))
-                counts += [sum(map(memo.__getitem__, words)) for words in docs]
+                new = set().union(*docs).difference(memo)
+                long = {w: len(lat.best(w)[1]) for w in new if len(w) > LONG}
+                memo.update(lat.trie_counts(new.difference(long)))
+                find = {**memo, **long} if long else memo
+                counts += [sum(map(find.__getitem__, words)) for words in docs]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     slim = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
