@@ -12,7 +12,9 @@ their 64 one-bit neighbours. Two fingerprints are at most two bits apart just if
 and at most 65 fingerprints lie in a ball, all linked with each other: an exact way, linear in rows.
 
 Null text counts as empty; texts without words have fingerprint zero and link like any other.
-Repeated rows stay; a null id never becomes a component's id unless all its ids are null.
+Repeated rows stay; a null id never becomes a component's id unless all its ids are null. An empty table
+gives an empty result; other columns do not matter. Texts of any length are read whole. Ties of the
+smallest id are copies of one id. Fingerprints with very many copies meet their class by broadcast.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop_stash, read_table, stash
+from .common import connected_components, drop_stash, join_hot, read_table, spare, stash
 
 SHINGLE, SEED, HOT = 3, 42, 32
 #: Near copies of keep_one: words of a shingle, and the least Jaccard likeness as a fraction.
@@ -49,8 +51,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         grams = [b" ".join(g) for g in zip(*(words[k:] for k in range(shingle)), strict=False)]
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
-    bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(len(h), 64)
-    ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
+    ones = np.zeros(64, dtype=np.int64)
+    for lo in range(0, len(h), 1 << 16):  # 64 bytes for each shingle of a slice
+        ones += np.unpackbits(h[lo : lo + (1 << 16)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    ones = ones * 2 > len(h)
     return int(np.packbits(ones).view(">u8")[0].astype(np.int64))
 
 
@@ -138,13 +142,13 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """prints(doc_id, fp) with component_id: the smallest doc_id reachable over links, and class_fp, the same fingerprint for all of a component."""
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     roots = stash(connected_components(links(firsts.select("fp"))), "simhash-roots").withColumnRenamed("node", "fp")
     linked = roots.join(firsts, "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = linked.join(smallest, "root").select("fp", "root", "smallest")
-    by_fp = firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "fp").alias("class_fp"))
-    return prints.join(by_fp, "fp")
+    by_fp = firsts.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"), F.coalesce("root", "fp").alias("class_fp"), "n")
+    return join_hot(prints, stash(by_fp, "simhash-classes"), ["fp"], "n")
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = STAGE_SHINGLE) -> DataFrame:
@@ -243,10 +247,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     drop_stash(prints)
     roots = stash(connected_components(near_links(sets)), "near-roots").withColumnRenamed("node", "set_id")
     kept = firsts.join(roots, "set_id", "left").groupBy(F.coalesce("root", "set_id").alias("root")).agg(F.min("first").alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.th").alias("_kept_th"))
-    own = df.withColumn("_own_th", F.xxhash64(F.col(text_col).cast("string")))
-    rest = own.join(kept, (F.col("_own_th") == F.col("_kept_th")) & own[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return rest.dropDuplicates([id_col, "_own_th"]).drop("_own_th")
+    own, kept_id, kept_th = spare(df, "own", "kept_id", "kept_th")
+    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.th").alias(kept_th))
+    marked = df.withColumn(own, F.xxhash64(F.col(text_col).cast("string")))
+    rest = marked.join(kept, (F.col(own) == F.col(kept_th)) & marked[id_col].eqNullSafe(kept[kept_id]), "left_semi")
+    return rest.dropDuplicates([id_col, own]).drop(own)
 
 
 def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

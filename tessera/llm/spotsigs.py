@@ -10,22 +10,27 @@ Two empty sets are alike.
 
 Near-duplicates: sets of length n can only reach likeness t with lengths from t n to n / t, so sets
 are dealt over partitions of the length axis whose width grows with the length; within a partition
-and the next, sets that share one of their rarest n - ceil(t n) + 1 signatures are compared. Equal
-sets are first brought together, and copies are never paired.
-
-Null text counts as empty. Repeated rows each get their fingerprint. A null id sorts first.
+and the next, sets that share one of their first n - ceil(t n) + 1 signatures, rarest first, are
+compared. Equal sets are first brought together, and copies are never paired. A signature that more
+than HOT sets of a partition have among those is not paired at once: its sets meet the shortest HOT of
+them, then the next ones, step by step, so every pair is met, by row and not in one group.
+
+Null text counts as empty. Repeated rows each get their fingerprint; the next document of all but the
+last of them is the text itself. A null id sorts first, rows of one id by the hash of the text. An empty
+table gives an empty result, and other columns do not matter. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, read_table, stash
+from .common import join_hot, read_table, stash
 
-CHAIN, SHARE, BUCKET = 3, 4, 512
+CHAIN, SHARE, HOT = 3, 4, 64
 #: Common function words of English, French, German and Spanish.
 ANCHORS = tuple(
     "the of and to in is that with for on are as be was by or from a an it he this at not but his her they we you "
@@ -70,24 +75,37 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(both / F.greatest(union, F.lit(1))).cast("double")
 
 
-def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = 0.8, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class_id) for every row, equal sets having one class, and (class_a, class_b, likeness) of near classes."""
     rows = with_signatures(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", "sigs")
     rows = stash(rows.select("doc_id", "sigs"), "spot-sigs")
     member = rows.select("doc_id", F.xxhash64("sigs").alias("set_id"))
-    sets = rows.groupBy(F.xxhash64("sigs").alias("set_id")).agg(F.min("sigs").alias("sigs")).where(F.size("sigs") > 0)
+    sets = stash(rows.groupBy(F.xxhash64("sigs").alias("set_id")).agg(F.first("sigs").alias("sigs")).where(F.size("sigs") > 0), "spot-sets")
     each = sets.select("set_id", F.size("sigs").alias("n"), F.explode_outer("sigs").alias("sig"))
     df_of = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     order = Window.partitionBy("set_id").orderBy("df", "sig")
-    ranked = each.join(df_of, "sig").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * likeness) + 1)
-    part = F.floor(F.log(F.col("n")) / -math.log(likeness)).cast("int")  # lengths within t of each other are at most one part away
+    ranked = join_hot(each, df_of.withColumn("many", F.col("df")), ["sig"], "many").withColumn("rank", F.row_number().over(order))
+    ranked = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.round(F.col("n") * likeness, 9)) + 1)
+    part = F.floor(F.round(F.log(F.col("n")) / -math.log(likeness), 9)).cast("int")  # lengths within t of each other are at most one part away
     ranked = stash(ranked.select("set_id", "sig", "n", part.alias("part")), "spot-prefixes")
-    left = ranked.select(F.col("set_id").alias("a"), "sig", F.col("n").alias("na"), F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = ranked.select(F.col("set_id").alias("b"), "sig", F.col("n").alias("nb"), "part")
-    length = F.least("na", "nb") >= F.greatest("na", "nb") * likeness
-    found = left.join(right, ["sig", "part"]).where((F.col("a") != F.col("b")) & length).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = sets.select("set_id", "sigs")
-    both = found.join(full.select(F.col("set_id").alias("a"), F.col("sigs").alias("sa")), "a").join(full.select(F.col("set_id").alias("b"), F.col("sigs").alias("sb")), "b")
+    # both parts a set may meet others in: its own, and that of the next shorter sets
+    homes = ranked.select("sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("at"), "part", F.struct("n", "set_id").alias("one"))
+    sized = homes.groupBy("sig", "at").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    homes = stash(homes.join(sized, ["sig", "at"]), "spot-homes")
+    length = F.least("one.n", "other.n") >= F.round(F.greatest("one.n", "other.n") * likeness, 9)
+    found, used = [], None
+    while True:  # the next `hot` sets of each signature, shortest first; all others of it meet them
+        left = homes if used is None else homes.join(used, ["sig", "at"]).where("one > last").drop("last")
+        place = F.row_number().over(Window.partitionBy("sig", "at").orderBy("one"))
+        some = stash(left.withColumn("place", place).where(F.col("place") <= hot).select("sig", "at", F.col("part").alias("other_part"), F.col("one").alias("other")), "spot-some")
+        if not some.take(1):
+            break
+        pairs = left.join(some, ["sig", "at"]).where(F.col("other") < F.col("one")).where(length & ((F.col("part") == F.col("at")) | (F.col("other_part") == F.col("at"))))
+        found.append(stash(pairs.select(F.least("one.set_id", "other.set_id").alias("a"), F.greatest("one.set_id", "other.set_id").alias("b")).distinct(), "spot-pairs"))
+        used = some.groupBy("sig", "at").agg(F.max("other").alias("last"))
+        hot *= 4
+    pairs = functools.reduce(DataFrame.union, found).distinct() if found else sets.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")).limit(0)
+    both = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("sigs").alias("sa")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("sigs").alias("sb")), "b")
     near = both.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), jaccard(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= likeness)
     return member.withColumnRenamed("set_id", "class_id"), near
 
@@ -95,22 +113,24 @@ def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", li
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, sigs of every row with next_text and next_sigs of the next by ascending id (after the last: the first).
 
-    Ids are numbered by a slim sort; rows then move once, to runs of BUCKET numbers; the first row of
-    a run is also sent to the run before.
+    Ids are put in order without their texts; the driver sees the first key of each partition of that order. Texts then
+    move once, straight to their part; the first row of a part is also sent to the part before.
     """
-    slim = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"))
-    order, total = numbered(slim, [F.col("doc_id"), F.col("th")], "order")
-    order = order.groupBy(F.col("doc_id").alias("_o"), F.col("th").alias("_t")).agg(F.min("row_no").alias("row_no"), F.count(F.lit(1)).alias("same"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), text.alias("text"))
-    rows = rows.join(order, rows["doc_id"].eqNullSafe(order["_o"]) & (rows["th"] == order["_t"])).select("doc_id", "text", "row_no", "same")
-    rows = with_signatures(rows, "text", "sigs")
-    run = F.floor(F.col("row_no") / BUCKET).cast("long")
-    last_run = (max(total, 1) - 1) // BUCKET
-    ghost = F.when(F.col("row_no") % BUCKET == 0, F.when(run == 0, F.lit(last_run)).otherwise(run - 1))
-    sent = rows.withColumn("run", F.explode(F.filter(F.array(F.struct(run.alias("run"), F.lit(False).alias("ghost")), F.struct(ghost.alias("run"), F.lit(True).alias("ghost"))), lambda x: x["run"].isNotNull())))
-    sent = sent.select("doc_id", "text", "sigs", "row_no", F.col("run.run").alias("run"), F.col("run.ghost").alias("ghost"))
-    w = Window.partitionBy("run").orderBy("ghost", "row_no")
+    rows = df.select(F.struct(F.col(id_col).isNotNull().alias("has"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("th")).alias("at"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small keys are not put together
+    slim = rows.select("at").repartitionByRange(n_parts, "at").withColumn("part", F.spark_partition_id())
+    firsts = sorted(r["low"] for r in slim.groupBy("part").agg(F.min("at").alias("low")).collect())  # one for each partition
+    if not firsts:
+        return with_signatures(with_signatures(rows.select("doc_id", "text", F.lit("").alias("next_text")), "text", "sigs"), "next_text", "next_sigs").select("doc_id", "text", "sigs", "next_text", "next_sigs")
+    bounds = F.array(*(F.struct(F.lit(a.has).alias("has"), F.lit(a.id).cast("long").alias("id"), F.lit(a.th).cast("long").alias("th")) for a in firsts))
+    part = F.size(F.filter(bounds, lambda b: b <= F.col("at"))) - 1
+    sent = rows.withColumn("part", part)
+    before = F.when(F.array_contains(bounds, F.col("at")), (F.col("part") + len(firsts) - 1) % len(firsts))
+    runs = F.filter(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("ghost")), F.struct(before.alias("part"), F.lit(True).alias("ghost"))), lambda x: x["part"].isNotNull())
+    sent = sent.select("at", "doc_id", "text", F.explode(runs).alias("run")).select("at", "doc_id", "text", "run.part", "run.ghost")
+    sent = with_signatures(sent.repartition(F.col("part")), "text", "sigs")
+    w = Window.partitionBy("part").orderBy("ghost", "at")
     out = sent.withColumn("next_text", F.lead("text").over(w)).withColumn("next_sigs", F.lead("sigs").over(w))
     return out.where("not ghost").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 

@@ -112,6 +112,35 @@ def test_spotsigs(spark):
     assert [r.next_text for r in rows] == [t or "" for t in [*texts[1:], texts[0]]]
     member, near = spotsigs.near_pairs(docs(spark, ["the one two three the four five six " + x for x in ("a", "b")] + ["the red cat sat"]))
     assert member.count() == 3 and near.count() <= 1
+    assert spotsigs.with_next(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_spotsigs_near_pairs_match_brute_force(spark, hot):
+    rng = np.random.default_rng(12)
+    texts = [""]
+    for g in range(8):
+        base = [str(w) for w in rng.choice([*spotsigs.ANCHORS[:12], *(f"w{g}x{i}" for i in range(40)), "shared"], int(rng.integers(20, 160)))]
+        for _ in range(14):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                words[int(rng.integers(len(words)))] = f"z{rng.integers(10**9)}"
+            texts.append(" ".join(words))
+    sets = {tuple(r.sigs) for r in spotsigs.with_next(docs(spark, texts)).collect()} - {()}
+    want = sum(1 for a in sets for b in sets if a < b and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)))
+    member, near = spotsigs.near_pairs(docs(spark, texts), hot=hot)
+    assert near.count() == want > 50 and member.count() == len(texts)
+
+
+def test_next_of_repeated_rows(spark):
+    rows = [(i, f"text {i}") for i in range(600)] + [(511, "text 511")] * 3 + [(None, None), (0, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = spotsigs.with_next(df).collect()
+    key = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len(got) == len(rows) and all(r.next_text is not None for r in got)
+    by = {r.text: r.next_text for r in got if r.doc_id not in (511, 0)}
+    assert by["text 510"] == "text 511" and by["text 512"] == "text 513" and by["text 599"] == "" and len(key) == len(rows)
+    assert sorted(r.next_text for r in got if r.doc_id == 511) == ["text 511"] * 3 + ["text 512"]
 
 
 def test_pool_is_monotone():
