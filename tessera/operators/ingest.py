@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +12,8 @@ from tessera.functions import text as T
 
 
 def first_of_content(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """content_hash, doc of the first document of each content."""
-    return docs.groupBy(T.content_hash(F.col(text)).alias("content_hash")).agg(F.min(doc).alias("doc"))
+    """content_hash, doc of the first document of each content. A null text has no content and is left out."""
+    return docs.where(F.col(text).isNotNull()).groupBy(T.content_hash(F.col(text)).alias("content_hash")).agg(F.min(doc).alias("doc"))
 
 
 def unseen(docs: DataFrame, history: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -37,24 +40,87 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """key, score of the k rows nearest to the one vector of query(q)."""
-    scored = vectors.crossJoin(F.broadcast(query)).where(F.size(column) == F.size("q")).select(key, cosine(F.col(column), F.col("q")).alias("score"))
-    return scored.orderBy(F.round("score", 9).desc(), key).limit(k)
+def usable(vector: Column, size: int | None = None) -> Column:
+    """Finite numbers, not all zero, `size` of them if given; null is not usable."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    good = finite & F.exists(vector, lambda x: x != 0)
+    return F.coalesce(good & (F.size(vector) == size) if size else good, F.lit(False))
 
 
-def quality(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 40, min_unique: float = 0.3) -> DataFrame:
-    """doc, n_words, n_unique, unique_ratio, repeated_ratio, reason (null: accepted)."""
-    words, lines = T.words_of(F.col(text)), F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
-    parts = docs.select(F.col(doc).alias("doc"), words.alias("w"), lines.alias("l"))
+def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """key, score of the k rows nearest to the one vector of query(q); vectors of another size, zero or not finite are left out."""
+    fits = (F.size(column) == F.size("q")) & usable(F.col(column)) & usable(F.col("q"))
+    both = vectors.crossJoin(F.broadcast(query)).withColumn("score", F.when(fits, cosine(F.col(column), F.col("q")))).where("score is not null")
+    return both.select(key, "score").orderBy(F.round("score", 9).desc(), key).limit(k)
+
+
+#: Phrases of the quality rules, in lower case.
+BOILERPLATE = tuple(
+    [f"cookie {x}" for x in ("consent", "policy", "preferences")] + [f"terms {x}" for x in ("and conditions", "of use")] + [f"subscribe to {x} newsletter" for x in ("our", "the")]
+    + ["all rights reserved", "accept all cookies", "enable javascript", "privacy policy", "verify you are human"]
+)
+NAVIGATION = ("about us", "contact us", "follow us", "home", "log in", "menu", "next", "previous", "related articles", "search", "share", "sign in", "sign up", "skip to content", "table of contents")
+ERROR_TITLES = ("access denied", "forbidden", "internal server error", "just a moment", "request blocked", "service unavailable", "too many requests", "verify you are human")
+SOFT_404 = r"^(page (does not exist|not found)|requested page (unavailable|not found)|404(\s*[-:]?\s*(not found|page not found|error))?)[.! ]*$"
+ERROR_PAGE = rf"^({'|'.join(ERROR_TITLES)})[.! ]*$"
+
+
+@dataclass(frozen=True)
+class QualityRules:
+    min_characters: int = 300
+    min_words: int = 60
+    min_unique_words: int = 25
+    min_unique_ratio: float = 0.08
+    max_boilerplate_ratio: float = 0.65
+    max_navigation_ratio: float = 0.65
+    max_repeated_line_ratio: float = 0.60
+    enabled: bool = True
+
+    def __post_init__(self) -> None:
+        if type(self.enabled) is not bool or any(type(x) is not int or x < 1 for x in (self.min_characters, self.min_words, self.min_unique_words)):
+            raise ValueError("enabled must be boolean and the least counts positive integers")
+        if not all(math.isfinite(x) and 0 <= x <= 1 for x in (self.min_unique_ratio, self.max_boilerplate_ratio, self.max_navigation_ratio, self.max_repeated_line_ratio)):
+            raise ValueError("ratios must be within [0, 1]")
+
+
+def quality(docs: DataFrame, rules: QualityRules = QualityRules(), doc: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """doc, seven metrics and reason (null: accepted; else the first rule that the document fails)."""
+    content = F.coalesce(F.col(text), F.lit(""))
+    heading = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
+    slim = docs.select(F.col(doc).alias("doc"), T.words_of(content).alias("w"), T.lines_of(content).alias("l"), F.char_length(F.regexp_replace(content, r"(?U)^\s+|\s+$", "")).cast("long").alias("characters"), F.lower(F.trim(F.split(heading, r"\|")[0])).alias("t"))
 
     def chars(x: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda s, v: s + F.char_length(v))
 
-    rows = parts.select("doc", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_unique"), chars(F.col("l")).alias("all"), chars(F.array_distinct("l")).alias("own"))
-    rows = rows.select("doc", "n_words", "n_unique", F.when(F.col("n_words") > 0, F.col("n_unique") / F.col("n_words")).otherwise(0.0).alias("unique_ratio"), F.when(F.col("all") > 0, (F.col("all") - F.col("own")) / F.col("all")).otherwise(0.0).alias("repeated_ratio"))
-    reason = F.when(F.col("n_words") == 0, "empty_content").when(F.col("repeated_ratio") > 0.5, "boilerplate").when(F.col("n_words") < min_words, "too_short").when(F.col("unique_ratio") < min_unique, "insufficient_content")
-    return rows.withColumn("reason", reason)
+    low = F.transform("l", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
+    rows = slim.select(
+        "doc", "characters", "t", F.size("w").cast("long").alias("words"), F.size(F.array_distinct("w")).cast("long").alias("unique_words"), F.lower(F.coalesce(F.get("l", F.lit(0)), F.lit(""))).alias("lead"),
+        chars(F.col("l")).alias("all"), chars(F.array_distinct("l")).alias("own"),
+        chars(F.transform(F.filter(low, lambda x: x["low"].rlike("|".join(BOILERPLATE))), lambda x: x["x"])).alias("boiler"), chars(F.transform(F.filter(low, lambda x: x["low"].isin(list(NAVIGATION))), lambda x: x["x"])).alias("nav"),
+    )
+    total = F.greatest(F.lit(1), F.col("all"))
+    rows = rows.select(
+        "doc", "t", "lead", "characters", "words", "unique_words", (F.col("unique_words") / F.greatest(F.lit(1), F.col("words"))).alias("unique_ratio"), (F.col("boiler") / total).alias("boilerplate_ratio"),
+        (F.col("nav") / total).alias("navigation_ratio"), F.when(F.col("all") > 0, 1 - F.col("own") / total).otherwise(0.0).alias("repeated_line_ratio"),
+    )
+
+    def looks_like(pattern: str) -> Column:
+        return F.col("t").rlike(pattern) | (F.col("lead").rlike(pattern) & (F.col("words") < 160))
+
+    thin = (F.col("unique_words") < rules.min_unique_words) | ((F.col("unique_ratio") < rules.min_unique_ratio) & (F.col("unique_words") < 2 * rules.min_unique_words))
+    reason = (
+        F.when(F.col("words") == 0, "empty_content").when(looks_like(SOFT_404), "soft_404").when(looks_like(ERROR_PAGE), "error_page")
+        .when((F.col("boilerplate_ratio") > rules.max_boilerplate_ratio) | (F.col("repeated_line_ratio") > rules.max_repeated_line_ratio), "boilerplate")
+        .when(F.col("navigation_ratio") > rules.max_navigation_ratio, "navigation_content")
+        .when((F.col("words") < rules.min_words) & (F.col("characters") < rules.min_characters), "too_short").when(thin, "insufficient_content")
+    )
+    return rows.withColumn("reason", reason if rules.enabled else F.lit(None).cast("string")).drop("t", "lead")
+
+
+def accepted(docs: DataFrame, rules: QualityRules = QualityRules(), doc: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """Rows of docs that pass every rule, decided row by row: no join."""
+    whole = docs.withColumn("_row", F.struct(*docs.columns))
+    return quality(whole, rules, "_row", text, title).where("reason is null").select("doc.*")
 
 
 def water_fill(pages: DataFrame, total: int, cap: int) -> DataFrame:

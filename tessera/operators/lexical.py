@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import unicodedata
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -10,9 +12,16 @@ from tessera.functions import text as T
 K1, B = 1.5, 0.75
 
 
-def tokenized(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep_stopwords: bool = False) -> DataFrame:
-    """doc, tokens: one row per document. Texts are dealt out first, as a file may be one task."""
-    lex = docs.select(F.col(doc).alias("doc"), T.lexemes(F.col(text)).alias("lex"))
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs over at least as many tasks as there are cores; moves rows only where the files give fewer."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
+def tokenized(docs: DataFrame, doc: str = "doc_id", text: str = "text", keep_stopwords: bool = False, composed: bool = False) -> DataFrame:
+    """doc, tokens: one row per document. `composed`: the texts are known to be in NFC."""
+    content = F.col(text) if composed else T.nfc(F.col(text))
+    lex = docs.select(F.col(doc).alias("doc"), T.lexemes(content).alias("lex"))
     return lex.select("doc", T.tokens_of(F.col("lex"), keep_stopwords=keep_stopwords).alias("tokens"))
 
 
@@ -26,8 +35,9 @@ def doc_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc", F.size("tokens").cast("long").alias("length"))
 
 
-def inverted_index(post: DataFrame) -> DataFrame:
-    return post.groupBy("token").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+def inverted_index(post: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """token, block, docs: the sorted documents of each token, by blocks of `block` ids, so that no array outgrows one."""
+    return post.groupBy("token", F.expr(f"doc div {block}").alias("block")).agg(F.sort_array(F.collect_set("doc")).alias("docs"))
 
 
 def tfidf_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
@@ -38,8 +48,7 @@ def tfidf_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 def bm25_index(post: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """token, doc, weight."""
-    if k1 < 0 or not 0 <= b <= 1:
-        raise ValueError("k1 must be >= 0 and b within [0, 1]")
+    _check(k1, b)
     corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))  # one row
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -48,16 +57,59 @@ def bm25_index(post: DataFrame, stats: DataFrame, k1: float = K1, b: float = B)
     return rows.select("token", "doc", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("weight"))
 
 
-def query_tokens(query: str, keep_stopwords: bool) -> DataFrame:
-    from pyspark.sql import SparkSession
+def query_tokens(query: str, keep_stopwords: bool) -> list[str]:
+    """The distinct tokens of a query, in order."""
+    lex = SparkSession.getActiveSession().createDataFrame([(unicodedata.normalize("NFC", query),)], "q string").select(T.lexemes(F.col("q")).alias("lex"))
+    return lex.select(F.array_distinct(T.tokens_of(F.col("lex"), keep_stopwords=keep_stopwords)).alias("t")).first().t
+
+
+class Matches:
+    """What one query needs of a corpus: each document's length and its count of every query token, from one scan.
+
+    The rows are slim and kept (lost ones are computed again), so corpus figures and scores share one tokenization;
+    no posting of another token is made, and nothing is shuffled but one row of figures.
+    """
+
+    def __init__(self, tokens: DataFrame, query: list[str]) -> None:
+        wanted = F.array(*map(F.lit, query)) if query else F.expr("cast(array() as array<string>)")
+        hits = tokens.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hits"))
+        self.rows = hits.select("doc", "length", F.transform(wanted, lambda q: F.size(F.filter("hits", lambda h: h == q))).alias("tf")).persist()
+        self.query = query
+
+    def _scored(self, term) -> DataFrame:
+        """doc, score over documents with a query token; term(tf, df, n, mean, length) is one token's share."""
+        figures = self.rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"), F.array(*(F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(self.query)))).alias("df") if self.query else F.expr("cast(array() as array<bigint>)").alias("df"))
+        both = self.rows.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(figures))  # one row
+        shares = F.zip_with("tf", "df", lambda tf, df: F.when(tf > 0, term(tf, df, F.col("n"), F.col("mean"), F.col("length"))).otherwise(0.0))
+        return both.select("doc", F.aggregate(shares, F.lit(0.0), lambda a, x: a + x).alias("score"))
+
+    def documents(self) -> DataFrame:
+        return self.rows.where(F.exists("tf", lambda x: x > 0)).select("doc")
+
+    def tf(self) -> DataFrame:
+        return self._scored(lambda tf, df, n, mean, length: tf.cast("double"))
+
+    def tfidf(self) -> DataFrame:
+        return self._scored(lambda tf, df, n, mean, length: tf * F.log((n + 1) / (df + 1)))
+
+    def bm25(self, k1: float = K1, b: float = B) -> DataFrame:
+        _check(k1, b)
+        return self._scored(lambda tf, df, n, mean, length: F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * F.when(mean > 0, 1 - b + b * length / mean).otherwise(1.0)))
+
+
+def _check(k1: float, b: float) -> None:
+    if k1 < 0 or not 0 <= b <= 1:
+        raise ValueError("k1 must be >= 0 and b within [0, 1]")
+
 
-    lex = SparkSession.getActiveSession().createDataFrame([(query,)], "q string").select(T.lexemes(F.col("q")).alias("lex"))
-    return lex.select(F.explode(F.array_distinct(T.tokens_of(F.col("lex"), keep_stopwords=keep_stopwords))).alias("token"))
+def matches(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", keep_stopwords: bool = False, composed: bool = False) -> Matches:
+    """The documents' matches with a query; keep_stopwords is about the query, documents always lose theirs."""
+    return Matches(tokenized(dealt(docs.select(doc, text)), doc, text, composed=composed), query_tokens(query, keep_stopwords))
 
 
 def ranked(weights: DataFrame, query: str, weight: str, keep_stopwords: bool) -> DataFrame:
-    """doc, score: the sum over distinct query tokens; order by score descending, then doc."""
-    hits = weights.join(F.broadcast(query_tokens(query, keep_stopwords)), "token")  # a query's tokens: few
+    """doc, score from an index of weights: the sum over distinct query tokens."""
+    hits = weights.where(F.col("token").isin(query_tokens(query, keep_stopwords)))
     return hits.groupBy("doc").agg(F.sum(weight).alias("score"))
 
 
@@ -65,10 +117,11 @@ def top(scores: DataFrame, k: int, name: str = "doc") -> DataFrame:
     return scores.orderBy(F.round("score", 9).desc(), name).limit(k)
 
 
-def basic_search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def basic_search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", composed: bool = False) -> DataFrame:
     """Documents that share a token with the query; stopwords count here."""
-    q = query_tokens(query, True).agg(F.collect_set("token").alias("q"))
-    return tokenized(docs, doc, text, keep_stopwords=True).crossJoin(F.broadcast(q)).where(F.arrays_overlap("tokens", "q")).select("doc")
+    q = query_tokens(query, True)
+    wanted = F.array(*map(F.lit, q)) if q else F.expr("cast(array() as array<string>)")
+    return tokenized(docs, doc, text, keep_stopwords=True, composed=composed).where(F.arrays_overlap("tokens", wanted)).select("doc")
 
 
 def with_ranks(scores: DataFrame, name: str, parts: int = 64) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import html as H
 from tessera.functions import text as T
-from tessera.operators import ingest, lexical
+from tessera.functions import urls as U
+from tessera.operators import chunks, frontier, ingest, lexical, retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +24,7 @@ tok AS (SELECT doc, list_concat(list_concat(terms,
   flatten(list_transform(list_filter(terms, lambda t: regexp_matches(t, '^[\\p{{L}}\\p{{N}}].*[._-].*[\\p{{L}}\\p{{N}}]$') AND regexp_matches(t, '{T.LETTER}')),
     lambda t: list_distinct(list_append(regexp_split_to_array(t, '[._-]'), regexp_replace(t, '[._-]', '', 'g')))))),
   list_transform(list_filter(range(1, len(l) - 1), lambda i: regexp_matches(l[i], '{T.PLAIN}') AND regexp_matches(l[i + 2], '{T.PLAIN}')
-    AND regexp_matches(l[i + 1], '^[ \\t\\f]+$') AND l[i] <> l[i + 2] AND l[i] NOT IN ({_STOP}) AND l[i + 2] NOT IN ({_STOP})
+    AND regexp_matches(l[i + 1], '^{T.GAP}$') AND l[i] <> l[i + 2] AND l[i] NOT IN ({_STOP}) AND l[i + 2] NOT IN ({_STOP})
     AND length(l[i]) >= 2 AND length(l[i + 2]) >= 2 AND length(l[i]) + length(l[i + 2]) <= 48 AND regexp_matches(l[i] || l[i + 2], '{T.LETTER}')),
     lambda i: l[i] || l[i + 2])) AS every FROM parts),
 toks AS (SELECT doc, every, list_filter(every, lambda t: t NOT IN ({_STOP})) AS tokens FROM tok)"""
@@ -52,7 +54,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str, keep: bool = False) -> DataFrame:
-    return lexical.tokenized(_table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id"), keep_stopwords=keep)
+    return lexical.tokenized(lexical.dealt(_table(spark, sf_dir, "documents").select("doc_id", "text")), keep_stopwords=keep, composed=True)
+
+
+def _matches(spark: SparkSession, sf_dir: str, keep: bool) -> lexical.Matches:
+    return lexical.matches(_table(spark, sf_dir, "documents"), QUERY, keep_stopwords=keep, composed=True)
 
 
 def _post(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +74,8 @@ def _count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _published(scores: DataFrame, k: int = 10) -> DataFrame:
-    return lexical.top(scores, k).select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
+def _published(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
 @query("ranked_index", _POST + " SELECT token, doc AS doc_id, tf FROM post")
@@ -77,9 +83,9 @@ def _(spark, d):
     return _post(spark, d).select("token", F.col("doc").alias("doc_id"), "tf")
 
 
-@query("inverted_index", _POST + " SELECT token, string_agg(doc::VARCHAR, ',' ORDER BY doc) AS docs FROM post GROUP BY 1")
+@query("inverted_index", _POST + " SELECT token, doc // 1000000 AS block, string_agg(doc::VARCHAR, ',' ORDER BY doc) AS docs FROM post GROUP BY 1, 2")
 def _(spark, d):
-    return lexical.inverted_index(_post(spark, d)).select("token", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+    return lexical.inverted_index(_post(spark, d)).select("token", "block", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
 
 
 @query("tfidf_index", _POST + _TFIDF + " SELECT token, doc AS doc_id, round(weight, 4) AS weight FROM tw")
@@ -105,31 +111,36 @@ def _(spark, d):
 
 @query("basic_search", _DOCS + _QALL + " SELECT doc AS doc_id FROM toks WHERE list_has_any(every, (SELECT list(token) FROM q))")
 def _(spark, d):
-    return lexical.basic_search(_table(spark, d, "documents").select("doc_id", "text").repartition("doc_id"), QUERY).withColumnRenamed("doc", "doc_id")
+    return lexical.basic_search(lexical.dealt(_table(spark, d, "documents").select("doc_id", "text")), QUERY, composed=True).withColumnRenamed("doc", "doc_id")
 
 
 @query("inverted_search", _POST + _QALL + " SELECT DISTINCT doc AS doc_id FROM post JOIN q USING (token)")
 def _(spark, d):
-    return lexical.ranked(_post(spark, d), QUERY, "tf", True).select(F.col("doc").alias("doc_id"))
+    return _matches(spark, d, True).documents().withColumnRenamed("doc", "doc_id")
 
 
-def _search_sql(head: str, weights: str, weight: str, q: str) -> str:
-    return f"{head}{q} SELECT doc AS doc_id, round(score, 4) AS score FROM (SELECT doc, sum({weight})::DOUBLE AS score FROM {weights} JOIN q USING (token) GROUP BY 1) ORDER BY round(score, 9) DESC, doc LIMIT 10"
+def _search_sql(head: str, weights: str, weight: str, q: str, end: str = "") -> str:
+    return f"{head}{q} SELECT doc AS doc_id, round(score, 4) AS score FROM (SELECT doc, sum({weight})::DOUBLE AS score FROM {weights} JOIN q USING (token) GROUP BY 1){end}"
 
 
 @query("ranked_search", _search_sql(_POST, "post", "tf", _QALL))
 def _(spark, d):
-    return _published(lexical.ranked(_post(spark, d), QUERY, "tf", True).withColumn("score", F.col("score").cast("double")))
+    return _published(_matches(spark, d, True).tf())
 
 
 @query("tfidf_search", _search_sql(_POST + _TFIDF, "tw", "weight", _QALL))
 def _(spark, d):
-    return _published(lexical.ranked(lexical.tfidf_index(_post(spark, d), _count(spark, d)), QUERY, "weight", True))
+    return _published(_matches(spark, d, True).tfidf())
 
 
 @query("bm25_search", _search_sql(_POST + _BM25, "bm", "weight", _QSTOP))
 def _(spark, d):
-    return _published(lexical.ranked(_bm25(spark, d), QUERY, "weight", False))
+    return _published(_matches(spark, d, False).bm25())
+
+
+@query("bm25_top10", _search_sql(_POST + _BM25, "bm", "weight", _QSTOP, " ORDER BY round(score, 9) DESC, doc LIMIT 10"))
+def _(spark, d):
+    return _published(lexical.top(_matches(spark, d, False).bm25(), 10))
 
 
 _HASH = "sha256(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
@@ -152,16 +163,28 @@ def _(spark, d):
     return ingest.unseen(docs, history).withColumnRenamed("doc", "doc_id")
 
 
-_QUALITY = f"""WITH p AS (SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{T.WORD.replace("'", "''")}', 0) AS w,
-list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents),
-c AS (SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_unique, coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::DOUBLE AS a, coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0)::DOUBLE AS o FROM p),
-m AS (SELECT doc_id, n_words, n_unique, CASE WHEN n_words > 0 THEN n_unique::DOUBLE / n_words ELSE 0 END AS u, CASE WHEN a > 0 THEN (a - o) / a ELSE 0 END AS r FROM c),
-z AS (SELECT doc_id, n_words, n_unique, round(u, 6) AS unique_ratio, round(r, 6) AS repeated_ratio, CASE WHEN n_words = 0 THEN 'empty_content' WHEN r > 0.5 THEN 'boilerplate' WHEN n_words < 40 THEN 'too_short' WHEN u < 0.3 THEN 'insufficient_content' END AS reason FROM m)"""
+def _alternatives(words) -> str:
+    return "|".join(words)
+
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_QUALITY = f"""WITH p AS (SELECT doc_id, text, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '{T.WORD.replace("'", "''")}', 0) AS w,
+list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {_STRIP.format("x")}), lambda x: x <> '') AS l FROM documents),
+c AS (SELECT doc_id, length({_STRIP.format("text")})::BIGINT AS characters, len(w)::BIGINT AS words, len(list_distinct(w))::BIGINT AS unique_words, lower(coalesce(l[1], '')) AS lead,
+ coalesce(list_sum(list_transform(l, lambda x: length(x))), 0)::DOUBLE AS a, coalesce(list_sum(list_transform(list_distinct(l), lambda x: length(x))), 0)::DOUBLE AS o,
+ coalesce(list_sum(list_transform(list_filter(l, lambda x: regexp_matches(lower(x), '{_alternatives(ingest.BOILERPLATE)}')), lambda x: length(x))), 0)::DOUBLE AS bo,
+ coalesce(list_sum(list_transform(list_filter(l, lambda x: regexp_matches(lower(x), '^({_alternatives(ingest.NAVIGATION)})$')), lambda x: length(x))), 0)::DOUBLE AS na FROM p),
+m AS (SELECT doc_id, characters, words, unique_words, lead, unique_words / greatest(1, words)::DOUBLE AS u, bo / greatest(1, a) AS b, na / greatest(1, a) AS n, CASE WHEN a > 0 THEN 1 - o / a ELSE 0 END AS r FROM c),
+z AS (SELECT doc_id, characters, words, unique_words, round(u, 6) AS unique_ratio, round(b, 6) AS boilerplate_ratio, round(n, 6) AS navigation_ratio, round(r, 6) AS repeated_line_ratio,
+ CASE WHEN words = 0 THEN 'empty_content' WHEN words < 160 AND regexp_matches(lead, '{ingest.SOFT_404}') THEN 'soft_404' WHEN words < 160 AND regexp_matches(lead, '{ingest.ERROR_PAGE}') THEN 'error_page'
+ WHEN b > 0.65 OR r > 0.60 THEN 'boilerplate' WHEN n > 0.65 THEN 'navigation_content' WHEN words < 60 AND characters < 300 THEN 'too_short'
+ WHEN unique_words < 25 OR (u < 0.08 AND unique_words < 50) THEN 'insufficient_content' END AS reason FROM m)"""
+_RATIOS = ("unique_ratio", "boilerplate_ratio", "navigation_ratio", "repeated_line_ratio")
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    q = ingest.quality(_table(spark, d, "documents")).withColumnRenamed("doc", "doc_id")
-    return q.withColumns({c: F.round(c, 6) for c in ("unique_ratio", "repeated_ratio")})
+    q = ingest.quality(lexical.dealt(_table(spark, d, "documents").select("doc_id", "text"))).withColumnRenamed("doc", "doc_id")
+    return q.withColumns({c: F.round(c, 6) for c in _RATIOS})
 
 
 @query("quality_metrics", _QUALITY + " SELECT * FROM z")
@@ -169,9 +192,16 @@ def _(spark, d):
     return _quality(spark, d)
 
 
+@query("quality_filter", _QUALITY + " SELECT doc_id, lang, source FROM z JOIN documents USING (doc_id) WHERE reason IS NULL")
+def _(spark, d):
+    return ingest.accepted(_table(spark, d, "documents")).select("doc_id", "lang", "source")
+
+
 @query("quality_reasons_by_lang", _QUALITY + " SELECT lang, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM z JOIN documents USING (doc_id) GROUP BY 1, 2")
 def _(spark, d):
-    return _quality(spark, d).join(_table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    docs = _table(spark, d, "documents")
+    q = ingest.quality(docs.withColumn("key", F.struct("doc_id", "lang")), doc="key")  # the language rides along: no join
+    return q.groupBy("doc.lang", F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("word_chunks", """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+\\s*') AS w FROM documents), k AS (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) <= 50 THEN 1 ELSE ((len(w) - 50 + 39) // 40) + 1 END)) AS chunk FROM w WHERE len(w) > 0)
@@ -181,16 +211,19 @@ def _(spark, d):
 
 
 _HOST = "lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+_PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+_QS = "regexp_extract(url, '\\?([^#]*)', 1)"
+_NORMAL = f"lower(regexp_extract(url, '^(https?)', 1)) || '://' || {_HOST} || CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END || CASE WHEN {_QS} = '' THEN '' ELSE '?' || {_QS} END"
 
 
 @query("pages_by_domain", f"SELECT {_HOST} AS domain, count(*) AS pages FROM pages GROUP BY 1")
 def _(spark, d):
-    return _table(spark, d, "pages").groupBy(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
+    return _table(spark, d, "pages").groupBy(U.domain_of(F.col("url")).alias("domain")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 @query("water_fill", f"WITH p AS (SELECT {_HOST} AS domain, page_id FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS rn FROM p), t AS (SELECT * FROM r WHERE rn <= 5 ORDER BY rn, domain LIMIT 60) SELECT domain, count(*) AS n FROM t GROUP BY 1")
 def _(spark, d):
-    return ingest.water_fill(_table(spark, d, "pages").select(F.lower(F.regexp_extract("url", "^https?://([^/:?#]+)", 1)).alias("domain"), "page_id"), 60, 5)
+    return ingest.water_fill(_table(spark, d, "pages").select(U.domain_of(F.col("url")).alias("domain"), "page_id"), 60, 5)
 
 
 _COS = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS s FROM embeddings"
@@ -210,10 +243,251 @@ def _(spark, d):
     "rrf_fusion",
     _POST + _BM25 + _QSTOP + f""", b AS (SELECT doc, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS bm25_rank FROM (SELECT doc, sum(weight) AS score FROM bm JOIN q USING (token) GROUP BY 1)),
 s AS (SELECT vec_id AS doc, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS semantic_rank FROM ({_COS}) QUALIFY semantic_rank <= 200),
-f AS (SELECT coalesce(b.doc, s.doc) AS doc_id, bm25_rank, semantic_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS score FROM (SELECT * FROM b WHERE bm25_rank <= 200) b FULL JOIN s ON b.doc = s.doc)
+f AS (SELECT coalesce(b.doc, s.doc) AS doc_id, bm25_rank, semantic_rank, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) AS score FROM b FULL JOIN s ON b.doc = s.doc)
 SELECT doc_id, bm25_rank::INTEGER AS bm25_rank, semantic_rank::INTEGER AS semantic_rank, round(score, 6) AS score FROM f ORDER BY round(f.score, 9) DESC, doc_id LIMIT 20""",
 )
 def _(spark, d):
-    lexical_hits = lexical.ranked(_bm25(spark, d), QUERY, "weight", False)
+    lexical_hits = _matches(spark, d, False).bm25()
     fused = lexical.fuse(lexical_hits, _nearest(spark, d, 200).withColumnRenamed("vec_id", "doc"))
     return lexical.top(fused, 20).select(F.col("doc").alias("doc_id"), "bm25_rank", "semantic_rank", F.round("score", 6).alias("score"))
+
+
+_SNIP = ["SELECT doc_id, text, lower(text) AS low, 0 AS seen, []::VARCHAR[] AS out FROM documents"]
+for _t in QUERY.split():  # one step for each query token
+    _hit = f"strpos(substr(low, seen + 1), '{_t}')"
+    _pos = f"({_hit} + seen - 1)"
+    _SNIP.append(f"SELECT doc_id, text, low, CASE WHEN {_hit} = 0 THEN seen ELSE {_pos} + {len(_t)} END AS seen, CASE WHEN {_hit} = 0 THEN out ELSE list_append(out, replace(substr(text, greatest(0, {_pos} - 50) + 1, {_pos} + 50 - greatest(0, {_pos} - 50)), chr(10), ' ')) END AS out FROM ({_SNIP[-1]})")
+
+
+@query("snippets", f"SELECT doc_id, array_to_string(out[1:3], ' | ') AS snippets FROM ({_SNIP[-1]})")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.array_join(T.snippets(F.col("text"), QUERY.split()), " | ").alias("snippets"))
+
+
+@query("search_hits_with_snippets", _search_sql(_POST + _BM25, "bm", "weight", _QSTOP, " ORDER BY round(score, 9) DESC, doc LIMIT 10").replace(" SELECT doc AS doc_id, round(score, 4) AS score", ", top AS (SELECT doc AS doc_id, round(score, 4) AS score", 1) + f") SELECT doc_id, score, array_to_string(out[1:3], ' | ') AS snippets, substr(text, 1, 400) AS lead FROM top JOIN ({_SNIP[-1]}) USING (doc_id)")
+def _(spark, d):
+    hits = F.broadcast(_published(lexical.top(_matches(spark, d, False).bm25(), 10)))  # ten rows
+    docs = _table(spark, d, "documents").join(hits, "doc_id")
+    return docs.select("doc_id", "score", F.array_join(T.snippets(F.col("text"), QUERY.split()), " | ").alias("snippets"), F.substring("text", 1, 400).alias("lead"))
+
+
+@query("url_parts", f"SELECT page_id, lower(regexp_extract(url, '^(https?)', 1)) AS scheme, {_HOST} AS host, {_PATH} AS path, {_QS} AS query FROM pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", U.parts(F.col("url")).alias("p")).select("page_id", "p.scheme", "p.host", "p.path", "p.query")
+
+
+@query("url_normalize", f"SELECT page_id, {_NORMAL} AS normalized_url FROM pages")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", U.normalize(F.col("url")).alias("normalized_url"))
+
+
+@query("allowed_pages", f"WITH top AS (SELECT {_HOST} AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY n DESC, host LIMIT 5) SELECT page_id FROM pages WHERE {_HOST} IN (SELECT host FROM top) AND NOT regexp_matches(lower({_PATH}), '\\.(pdf|zip|png|jpe?g|gif|svg|webp|ico|css|js|mp[34]|woff2?|ttf|exe)$')")
+def _(spark, d):
+    pages = _table(spark, d, "pages")
+    top = [r.host for r in pages.groupBy(U.domain_of(F.col("url")).alias("host")).count().orderBy(F.desc("count"), "host").limit(5).collect()]
+    return pages.where(U.is_valid(F.col("url")) & U.allowed(F.col("url"), top) & U.is_page(F.col("url"))).select("page_id")
+
+
+@query("html_links", """WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1) AS h FROM pages), e AS (SELECT page_id, url, unnest(h) AS href, generate_subscripts(h, 1) - 1 AS pos FROM a)
+SELECT page_id, pos::INTEGER AS pos, href, CASE WHEN regexp_matches(href, '^https?:') THEN href ELSE regexp_extract(url, '^(https?://[^/?#]*)', 1) || href END AS target FROM e""")
+def _(spark, d):
+    return H.html_links(_table(spark, d, "pages"))
+
+
+@query("html_extract")
+def _(spark, d):
+    return H.html_extract(_table(spark, d, "pages")).select("page_id", "title", "text", F.size("blocks").alias("n_blocks"))
+
+
+@query("block_kinds")
+def _(spark, d):
+    return H.html_extract(_table(spark, d, "pages")).select(F.explode("blocks").alias("b")).groupBy("b.kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("html_titles", "SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '[ \\t]+', ' ', 'g')) AS title FROM pages")
+def _(spark, d):
+    return H.html_extract(_table(spark, d, "pages")).select("page_id", "title")
+
+
+@query("structured_chunks")
+def _(spark, d):
+    return chunks.structured_chunks(_table(spark, d, "documents"), target=120, most=200, overlap=20).drop("heading_path").withColumnRenamed("doc", "doc_id")
+
+
+@query("page_chunks")
+def _(spark, d):
+    pages = H.html_extract(_table(spark, d, "pages"))
+    return chunks.structured_chunks(pages, "page_id", "text", "blocks").select(F.col("doc").alias("page_id"), "chunk_index", F.array_join("heading_path", " > ").alias("heading_path"), "token_count", "text")
+
+
+@query("point_ids")
+def _(spark, d):
+    return _table(spark, d, "pages").select("page_id", U.point_id(U.normalize(F.col("url")), F.concat(F.col("page_id").cast("string"), F.lit("::chunk-0"))).alias("point_id"), U.document_name(U.normalize(F.col("url")), T.content_hash(F.col("html"))).alias("document_name"))
+
+
+# every embedding is a chunk of document vec_id // 4: four chunks a document
+_HITS = f"hits AS (SELECT vec_id AS chunk_id, vec_id // 4 AS doc, s AS score, row_number() OVER (ORDER BY round(s, 9) DESC, vec_id) AS rank FROM ({_COS}) QUALIFY rank <= 200), best AS (SELECT *, row_number() OVER (ORDER BY rank) AS doc_rank FROM (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY doc ORDER BY rank) = 1))"
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = _nearest(spark, d, 200).withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "vec_id")))  # 200 rows
+    return retrieval.best_chunks(top.select(F.expr("vec_id div 4").alias("doc"), F.col("vec_id").alias("chunk_id"), "score", "rank"))
+
+
+@query("best_chunk_per_doc", f"WITH {_HITS} SELECT doc AS doc_id, chunk_id, doc_rank::INTEGER AS doc_rank, round(score, 4) AS score FROM best")
+def _(spark, d):
+    return _best(spark, d).select(F.col("doc").alias("doc_id"), "chunk_id", F.col("doc_rank").cast("int").alias("doc_rank"), F.round("score", 4).alias("score"))
+
+
+_HYBRID = _POST + _BM25 + _QSTOP + f""", b AS (SELECT doc, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc) AS bm25_rank FROM (SELECT doc, sum(weight) AS score FROM bm JOIN q USING (token) GROUP BY 1)), {_HITS},
+f AS (SELECT coalesce(b.doc, s.doc) AS doc_id, s.chunk_id, coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + doc_rank), 0) AS score FROM b FULL JOIN (SELECT best.* FROM best JOIN documents ON doc = doc_id) s ON b.doc = s.doc),
+top AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS place FROM f QUALIFY place <= 20)"""
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """The fused candidates with a text: hits of documents that are there, ranks closed up before."""
+    scores = _matches(spark, d, False).bm25()
+    bm25 = scores.join(lexical.with_ranks(scores, "bm25_rank"), "doc")
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    semantic = docs.join(F.broadcast(_best(spark, d)), "doc")  # 200 rows at most
+    fused = retrieval.fuse_chunks(bm25, semantic.select("doc", "chunk_id", "text", "score", "doc_rank"))
+    first = fused.drop("text").orderBy(F.round("rrf_score", 9).desc(), "doc").limit(20)
+    return docs.join(F.broadcast(first), "doc")  # 20 rows
+
+
+@query("hybrid_topk", _HYBRID + " SELECT doc_id, chunk_id, round(score, 6) AS rrf_score FROM top")
+def _(spark, d):
+    return _hybrid(spark, d).select(F.col("doc").alias("doc_id"), "chunk_id", F.round("rrf_score", 6).alias("rrf_score"))
+
+
+_OVERLAP = " + ".join(f"contains(lower(text), '{w}')::INTEGER::DOUBLE" for w in QUERY.split())
+
+
+@query("rerank_topk", _HYBRID + f" SELECT doc_id, round(({_OVERLAP}) / {len(QUERY.split())}, 4) AS reranker_score FROM top JOIN documents USING (doc_id) ORDER BY ({_OVERLAP}) DESC, place LIMIT 10")
+def _(spark, d):
+    got = retrieval.rerank(_hybrid(spark, d), retrieval.overlap_scorer(QUERY.split()), 20, 10, (F.round("rrf_score", 9).desc(), F.col("doc")))
+    return got.select(F.col("doc").alias("doc_id"), F.round("reranker_score", 4).alias("reranker_score"))
+
+
+@query("rag_context")
+def _(spark, d):
+    from pyspark.sql import Window
+
+    got = retrieval.rerank(_hybrid(spark, d), retrieval.overlap_scorer(QUERY.split()), 20, 10, (F.round("rrf_score", 9).desc(), F.col("doc")))
+    ranked = got.select(F.row_number().over(Window.orderBy(F.desc("reranker_score"), "place")).alias("rank"), "doc", "chunk_id", F.lit(None).cast("string").alias("url"), "text")  # ten rows
+    return retrieval.rendered(retrieval.context(ranked, 5))
+
+
+# judged: for each language, its documents of a good label are relevant; systems rank documents by length and by source
+_JUDGED = "judged AS (SELECT lang AS query_id, doc_id AS doc FROM documents JOIN labels USING (doc_id) WHERE quality = 1)"
+_RANKINGS = "rankings AS (SELECT lang AS query_id, 'length' AS system, doc_id AS doc, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents UNION ALL SELECT lang, 'source', doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) FROM documents)"
+_METRICS = f"""WITH {_JUDGED}, {_RANKINGS}, n AS (SELECT query_id, count(*) AS n FROM judged GROUP BY 1), h AS (SELECT r.* FROM rankings r JOIN judged USING (query_id, doc)),
+m AS (SELECT query_id, system, count(*) FILTER (rank <= 5) / n::DOUBLE AS recall_at_5, count(*) FILTER (rank <= 10) / n::DOUBLE AS recall_at_10, 1.0::DOUBLE / min(rank) AS reciprocal_rank FROM h JOIN n USING (query_id) GROUP BY query_id, system, n)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    docs, labels = _table(spark, d, "documents"), _table(spark, d, "labels")
+    judged = docs.join(labels, "doc_id").where("quality = 1").select(F.col("lang").alias("query_id"), F.col("doc_id").alias("doc"))
+    orders = {"length": [F.desc("n_chars"), F.col("doc_id")], "source": [F.col("source"), F.col("doc_id")]}
+    lists = [docs.select(F.col("lang").alias("query_id"), F.lit(n).alias("system"), F.col("doc_id").alias("doc"), F.row_number().over(Window.partitionBy("lang").orderBy(*o)).alias("rank")) for n, o in orders.items()]
+    return retrieval.retrieval_metrics(lists[0].union(lists[1]), judged)
+
+
+_ROUNDED = ", ".join(f"round({m}, 6) AS {m}" for m in retrieval.METRICS)
+
+
+@query("retrieval_metrics", _METRICS + f" SELECT query_id, system, {_ROUNDED} FROM m")
+def _(spark, d):
+    return _metrics(spark, d).withColumns({m: F.round(m, 6) for m in retrieval.METRICS})
+
+
+@query("metrics_by_system", _METRICS + " SELECT system, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in retrieval.METRICS) + ", count(*) AS n_queries FROM m GROUP BY 1")
+def _(spark, d):
+    return retrieval.macro_average(_metrics(spark, d), "system").withColumns({m: F.round(m, 6) for m in retrieval.METRICS})
+
+
+@query("rank_change_class", _METRICS + """, d AS (SELECT a.query_id, b.recall_at_5 - a.recall_at_5 AS x, b.recall_at_10 - a.recall_at_10 AS y, b.reciprocal_rank - a.reciprocal_rank AS z FROM m a JOIN m b ON a.query_id = b.query_id AND a.system = 'length' AND b.system = 'source')
+SELECT query_id, CASE WHEN greatest(x, y, z) > 0 AND least(x, y, z) < 0 THEN 'mixed' WHEN greatest(x, y, z) > 0 THEN 'improved' WHEN least(x, y, z) < 0 THEN 'decreased' ELSE 'changed_without_metric_gain' END AS category FROM d""")
+def _(spark, d):
+    rows = _metrics(spark, d)
+    runs = [rows.where(F.col("system") == n).select("query_id", *retrieval.METRICS, F.array(F.lit(n)).alias("ranking")) for n in ("length", "source")]
+    return retrieval.change_class(*runs).select("query_id", "category")
+
+
+# the frontier of a crawl of `pages`: status, attempts and seconds follow from the page's number
+_FRONTIER = f"""f AS (SELECT page_id, {_NORMAL} AS normalized_url, {_HOST} AS domain, (len(string_split({_PATH}, '/')) - 1)::INTEGER AS depth, ['queued', 'crawled', 'failed', 'rejected', 'crawling'][page_id % 5 + 1] AS status,
+(page_id % 3)::INTEGER AS attempts, CASE WHEN page_id % 5 = 3 THEN 'soft_404' WHEN page_id % 10 = 2 THEN 'robots' END AS error_type, 1 AS eligible, (page_id % 5 = 1)::INTEGER AS fetched, (page_id % 5 = 1)::INTEGER AS extracted, (page_id % 5 = 1)::INTEGER AS accepted,
+(page_id % 5 = 1)::INTEGER AS indexed, (CASE WHEN page_id % 5 = 1 THEN page_id % 7 ELSE 0 END)::INTEGER AS chunk_count, (page_id % 3) * 0.5::DOUBLE AS crawl_seconds, (CASE WHEN page_id % 5 = 1 THEN 0.25 ELSE 0 END)::DOUBLE AS index_seconds FROM pages)"""
+
+
+def _frontier(spark: SparkSession, d: str) -> DataFrame:
+    n, done = F.col("page_id"), (F.col("page_id") % 5 == 1).cast("int")
+    state = F.element_at(F.array(*map(F.lit, ("queued", "crawled", "failed", "rejected", "crawling"))), (n % 5 + 1).cast("int"))
+    error = F.when(n % 5 == 3, "soft_404").when(n % 10 == 2, "robots")
+    return _table(spark, d, "pages").select(
+        U.normalize(F.col("url")).alias("normalized_url"), "url", U.domain_of(F.col("url")).alias("domain"), (F.size(F.split(U.parts(F.col("url"))["path"], "/")) - 1).alias("depth"), F.lit("sitemap").alias("discovery_source"), state.alias("status"),
+        (n % 3).cast("int").alias("attempts"), error.alias("error_type"), F.lit(1).alias("eligible"), done.alias("fetched"), done.alias("extracted"), done.alias("accepted"), done.alias("indexed"), (done * (n % 7)).cast("int").alias("chunk_count"),
+        ((n % 3) * 0.5).alias("crawl_seconds"), (done * 0.25).cast("double").alias("index_seconds"), n.alias("seq"),
+    )
+
+
+@query("frontier_stats", f"WITH {_FRONTIER} SELECT domain, status, count(*) AS n FROM f GROUP BY 1, 2")
+def _(spark, d):
+    return frontier.status_counts(_frontier(spark, d))
+
+
+@query("frontier_indexed", f"WITH {_FRONTIER} SELECT domain, count(*) AS n FROM f WHERE indexed = 1 GROUP BY 1")
+def _(spark, d):
+    return frontier.indexed_by_domain(_frontier(spark, d))
+
+
+@query("frontier_totals", f"WITH {_FRONTIER} SELECT " + ", ".join(f"coalesce({e}, 0)::{'DOUBLE' if n.endswith('seconds') else 'BIGINT'} AS {n}" for n, e in frontier.TOTALS.items()) + " FROM f")
+def _(spark, d):
+    return frontier.totals(_frontier(spark, d))
+
+
+@query("frontier_deltas", f"WITH {_FRONTIER}, a AS (SELECT count(*) FILTER (depth <= 1) AS b, count(*) AS n, sum(attempts) - coalesce(sum(attempts) FILTER (depth <= 1), 0) AS t, sum(crawl_seconds) - coalesce(sum(crawl_seconds) FILTER (depth <= 1), 0) AS s FROM f) SELECT n - b AS discovered_urls, t::BIGINT AS page_attempts, round(CASE WHEN t > 0 THEN s / t ELSE 0 END, 6) AS seconds_per_attempt FROM a")
+def _(spark, d):
+    rows = _frontier(spark, d)
+    return frontier.deltas(frontier.totals(rows.where("depth <= 1")), frontier.totals(rows)).select("discovered_urls", "page_attempts", F.round("seconds_per_attempt", 6).alias("seconds_per_attempt"))
+
+
+@query("frontier_next", f"WITH {_FRONTIER} SELECT domain, normalized_url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY attempts DESC, depth, page_id) AS rn FROM f WHERE status = 'queued' AND depth <= 3) WHERE rn = 1")
+def _(spark, d):
+    return frontier.next_urls(_frontier(spark, d), 3).select("domain", "normalized_url")
+
+
+@query("frontier_recover_retry", f"WITH {_FRONTIER} SELECT normalized_url, CASE WHEN status IN ('crawling', 'failed') THEN 'queued' ELSE status END AS status FROM f")
+def _(spark, d):
+    return frontier.retried(frontier.recovered(_frontier(spark, d))).select("normalized_url", "status")
+
+
+@query("frontier_add", f"WITH {_FRONTIER}, k AS (SELECT * FROM f WHERE page_id % 2 = 0), p AS (SELECT page_id, {_NORMAL} AS u, {_HOST} AS h, (len(string_split({_PATH}, '/')) - 1) AS depth FROM pages) SELECT u AS normalized_url, CASE WHEN u IN (SELECT normalized_url FROM k) OR row_number() OVER (PARTITION BY u ORDER BY page_id) > 1 THEN 'duplicate' WHEN depth > 2 THEN 'depth' END AS reason FROM p")
+def _(spark, d):
+    pages = _table(spark, d, "pages")
+    domains = [r[0] for r in pages.select(U.domain_of(F.col("url"))).distinct().collect()]  # a crawl's own list of domains
+    found = pages.select("url", (F.size(F.split(U.parts(F.col("url"))["path"], "/")) - 1).alias("depth"), F.col("page_id").alias("seq"))
+    return frontier.with_reject_reason(found, _frontier(spark, d).where("seq % 2 = 0"), domains, 2).select("normalized_url", "reason")
+
+
+@query("scope_replace", """WITH b AS (SELECT source, doc_id AS id, 2 AS generation, sha256(text) AS payload FROM documents WHERE lang = 'de') SELECT source, id, generation, payload FROM b
+UNION ALL SELECT source, doc_id, 1, sha256(text) FROM documents WHERE source NOT IN (SELECT source FROM b)""")
+def _(spark, d):
+    docs = _table(spark, d, "documents").select("source", F.col("doc_id").alias("id"), F.sha2("text", 256).alias("payload"), "lang")
+    store = docs.select("source", "id", F.lit(1).alias("generation"), "payload")
+    return frontier.replace_scopes(store, docs.where("lang = 'de'").select("source", "id", F.lit(2).alias("generation"), "payload"))
+
+
+@query("query_without_stopwords", f"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(substr(text, 1, 1000000000), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN ({_STOP})), ' ') AS words FROM documents")
+def _(spark, d):
+    return _table(spark, d, "documents").select("doc_id", T.without_stopwords(F.col("text")).alias("words"))
+
+
+@query("conversation_search", f"WITH t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS x FROM conversations GROUP BY 1) SELECT conv_id FROM t WHERE contains(lower(x), '{QUERY.split()[0]}')")
+def _(spark, d):
+    turns = _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), " ").alias("x"))
+    return turns.where(F.lower("x").contains(QUERY.split()[0])).select("conv_id")

@@ -1 +1 @@
-"""See README.md."""
+"""Text folders, manifests, JSON indexes and report files."""

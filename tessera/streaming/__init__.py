@@ -1 +1 @@
-"""See README.md."""
+"""Structured Streaming: content history across runs, micro-batch indexing."""
