@@ -15,7 +15,8 @@ gathered in one task; only lines that touch a live key go on. A fixed table of b
 Only whether an earlier near line exists is wanted. So the lines of a key are compared with its
 earliest REPS lines first, those found late leave, the rest meet the next lines of the key, in steps
 that grow, until each line left has met every earlier line on its keys: no pair is left out, and a
-group of near copies costs about one comparison a line. Candidates are verified by a banded
+group of near copies costs about one comparison a line. Pairs whose counts of common letters differ by more
+than their edits allow are left out inside the join (an edit moves at most one count up and one down). Others are verified by a banded
 bit-parallel edit distance: bit sets over the 2 TAU + 1 diagonals for 0, 1 and TAU edits.
 
 Null text has no lines. Lines below `least` and blank lines always stay. Rows with equal id and text count as
@@ -34,7 +35,9 @@ from .common import join_hot, read_table, spare, stash
 MIN_CHARS, SHORT, TAU = 20, 40, 2
 LAST = (1 << 63) - 1
 #: Lines of a key that are compared first (times GROW a step), and the size of the table of bits.
-REPS, GROW, BITS = 2, 4, 26
+REPS, GROW, BITS = 4, 8, 26
+#: Letters that are counted one by one to tell lines apart before they are verified; other letters are not looked at.
+LETTERS = "etaonisrhldu"
 BLANKS = " \t\r\f\x0b"
 
 
@@ -93,6 +96,19 @@ def maybe_in(df: DataFrame, of: str, table: DataFrame) -> DataFrame:
     return both.where("(shiftright(bits, bit) & 1) = 1").select(*df.columns)
 
 
+def letter_counts(line: Column) -> Column:
+    return F.struct(*((F.char_length(line) - F.char_length(F.translate(line, c, ""))).alias(c) for c in LETTERS))
+
+
+def may_be_near(a: str, b: str) -> Column:
+    """No more than TAU letters too many on either side: true of all lines within TAU edits."""
+
+    def surplus(x: str, y: str) -> Column:
+        return sum((F.greatest(F.col(f"{x}.{c}") - F.col(f"{y}.{c}"), F.lit(0)) for c in LETTERS), F.lit(0))
+
+    return (surplus(a, b) <= TAU) & (surplus(b, a) <= TAU)
+
+
 def within(a: Column, b: Column) -> Column:
     """Edits between two lines if at most TAU, else null: a banded bit-parallel distance.
 
@@ -118,7 +134,7 @@ def within(a: Column, b: Column) -> Column:
                 now.append(old.bitwiseAND(r["m"]).bitwiseOR(less).bitwiseOR(shifted(less, -1)).bitwiseOR(shifted(now[-1], 1)).bitwiseAND(full))
             return F.struct(*(v.alias(f"e{e}") for e, v in enumerate(now)))
 
-        return F.get(F.transform(F.array(row), levels), F.lit(0))
+        return F.when(acc[f"e{TAU}"] == 0, acc).otherwise(F.get(F.transform(F.array(row), levels), F.lit(0)))  # too far apart already: nothing to do
 
     n, m = F.char_length(a), F.char_length(b)
     # transform over one element: what stands in it is computed once, not at every character
@@ -147,21 +163,22 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: i
     texts = maybe_in(long_lines.select("lid", "line"), "lid", some).groupBy("lid").agg(F.min("line").alias("line"))
     texts = stash(texts.join(ends, "lid", "left_semi"), "line-texts")
     where = maybe_in(firsts.where("long").select("lid", "first"), "lid", some).groupBy("lid").agg(F.min("first").alias("first"))
-    placed = live.groupBy("key", "lid").agg(F.max("index").alias("index")).join(where, "lid").select("key", F.struct("first", "lid").alias("at"), "index")
+    where = where.join(texts.select("lid", letter_counts(F.col("line")).alias("c")), "lid")
+    placed = live.groupBy("key", "lid").agg(F.max("index").alias("index")).join(where, "lid").select("key", F.struct("first", "lid").alias("at"), "index", "c")
     placed = stash(placed, "line-members")
 
     late, used, reps = None, None, REPS
     while True:
         rest = placed.join(late, placed["at.lid"] == late["lid"], "left_anti") if late is not None else placed
-        comparers = placed if used is None else placed.join(used, "key", "left").where("last is null or at > last").select("key", "at", "index")
+        comparers = placed if used is None else placed.join(used, "key", "left").where("last is null or at > last").select("key", "at", "index", "c")
         if used is not None:  # only keys that still have lines to be judged
-            comparers = comparers.join(rest.groupBy("key").agg(F.max("at").alias("top")), "key").where("at < top").select("key", "at", "index")
+            comparers = comparers.join(rest.groupBy("key").agg(F.max("at").alias("top")), "key").where("at < top").select("key", "at", "index", "c")
         place = F.row_number().over(Window.partitionBy("key").orderBy("at"))
-        chosen = stash(comparers.withColumn("place", place).where(F.col("place") <= reps).select("key", "at", "index"), "line-reps")
+        chosen = stash(comparers.withColumn("place", place).where(F.col("place") <= reps).select("key", "at", "index", "c"), "line-reps")
         if not chosen.take(1):
             break
-        b = chosen.select("key", F.col("at").alias("other"), F.col("index").alias("other_index"))
-        pairs = rest.join(b, "key").where("other < at and (index or other_index)").select(F.col("at.lid").alias("v"), F.col("other.lid").alias("u")).distinct()
+        b = chosen.select("key", F.col("at").alias("other"), F.col("index").alias("other_index"), F.col("c").alias("other_c"))
+        pairs = rest.join(b, "key").where(F.expr("other < at and (index or other_index)") & may_be_near("c", "other_c")).select(F.col("at.lid").alias("v"), F.col("other.lid").alias("u")).distinct()
         both = pairs.join(texts.select(F.col("lid").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("lid").alias("v"), F.col("line").alias("b")), "v")
         allowed = F.when(F.least(F.char_length("a"), F.char_length("b")) < SHORT, 1).otherwise(TAU)
         found = both.where(within(F.col("a"), F.col("b")) <= allowed).select(F.col("v").alias("lid"))
