@@ -66,7 +66,7 @@ def shard_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         return pd.Series(permute(n.to_numpy(), count, seed))
 
     rows = rows.withColumn("position", place("row_no"))
-    return rows.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.floor(F.col("position") / shards).cast("long"))
+    return rows.withColumn("shard", (F.col("position") % shards).cast("int")).withColumn("slot", F.expr(f"position div {int(shards)}"))
 
 
 def op5_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -173,7 +173,8 @@ class Store:
     dtype: str
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.schema("key binary, doc_id long, n long, payload binary").parquet(f"{self.path}/data/kind=0")
+        rows = self.spark.read.schema("kind int, key binary, doc_id long, n long, payload binary").parquet(f"{self.path}/data")  # without rows there is no folder of a kind
+        return rows.where("kind = 0").select("key", "doc_id", "n", "payload")
 
     def recipes(self) -> DataFrame:
         return self.spark.read.schema("doc_id long, n long, root binary, chunks array<binary>, row_no long, before long").parquet(f"{self.path}/recipes")
@@ -184,11 +185,17 @@ class Store:
 
 def manifest_of(recipes: DataFrame, rows: int = 4096) -> DataFrame:
     """A root over each run of `rows` recipes in order."""
-    part = F.floor(F.col("row_no") / rows).cast("long")
+    part = F.expr(f"row_no div {rows}")
     each = F.array_sort(F.collect_list(F.struct("row_no", F.hex("root").alias("root"))))
     return recipes.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.array_join(F.transform(each, lambda x: x["root"]), ""), 256).alias("root"))
 
 
+def damaged_parts(store: Store) -> DataFrame:
+    """part: every part of the manifest whose recipes are not those it was written for, or are gone."""
+    now = manifest_of(store.recipes()).select("part", F.col("rows").alias("rows_now"), F.col("root").alias("root_now"))
+    return store.manifest().join(now, "part", "full_outer").where("not (rows <=> rows_now and root <=> root_now)").select("part")
+
+
 def write_store(df: DataFrame, model_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> Store:
     """Encodes every text, appends end_id, and writes the store."""
     from tokenizers import Tokenizer

@@ -81,6 +81,17 @@ def test_token_store_round_trip(spark):
     assert chunks.count() == chunks.select("key").distinct().count()
 
 
+def test_token_store_without_rows_and_damaged(spark):
+    path = public_tokenizers.path(tokenstore.WORD_BPE)
+    empty = tokenstore.write_store(docs(spark, []), path, 2)
+    assert tokenstore.read_digests(empty).count() == 0 and empty.chunks().count() == 0 and tokenstore.damaged_parts(empty).count() == 0
+    store = tokenstore.write_store(docs(spark, ["one", "two", None]), path, 2)
+    assert tokenstore.damaged_parts(store).count() == 0
+    kept = store.recipes().where("doc_id <> 1").collect()
+    spark.createDataFrame(kept, store.recipes().schema).write.mode("overwrite").parquet(f"{store.path}/recipes")
+    assert [r.part for r in tokenstore.damaged_parts(store).collect()] == [0]
+
+
 def test_max_plus_scan_equals_one_pass(spark):
     model = unigram.model_bytes()
     lat = unigram.Lattice(model)
