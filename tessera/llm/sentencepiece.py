@@ -45,7 +45,7 @@ class Encoder:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
         new = words.difference(memo)
-        known = new.intersection(old)
+        known = {w for w in new if w in old}  # intersection() would walk all of a dict
         memo.update({w: old[w] for w in known})
         memo.update(self.lat.trie_ids(new - known))
 
