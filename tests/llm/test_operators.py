@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -229,3 +230,50 @@ def test_spotsigs_stray_anchor(spark):
     texts = [" ".join(words), " ".join([*words[:40], "the", *words[40:]]), " ".join(["the", *words[:5]]), " ".join(words[:5])]
     sigs = [set(r.sigs) for r in spotsigs.with_next(docs(spark, texts)).orderBy("doc_id").collect()]
     assert len(sigs[0]) > 8 and len(sigs[0] & sigs[1]) >= 0.8 * len(sigs[0] | sigs[1]) and all(sigs)
+
+
+def test_keep_one_does_not_write_the_sets(spark, monkeypatch):
+    """Tables kept between its steps are small against the texts: 8 bytes a word, as sets have, would be more than these."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000)) for _ in range(40)]
+    texts.append(texts[0] + " end")
+    wrote, old = [], simhash.stash
+
+    def stash(df, name, **options):
+        out = old(df, name, **options)
+        wrote.append(sum(p.stat().st_size for p in Path(out._tessera_path.removeprefix("file://")).glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(simhash, "stash", stash)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, texts)).collect()) == list(range(40))
+    assert sum(wrote) < sum(map(len, texts)) / 3
+
+
+def test_parities_leave_no_alike_sets_out(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in (1, 5, 63, 64, 127, 128, 1000, 1023, 1030):
+        for _ in range(4):
+            a = rng.integers(-(2**62), 2**62, n)
+            b = np.concatenate([a[: n - n // 10], rng.integers(-(2**62), 2**62, n // 12)])
+            c = rng.integers(-(2**62), 2**62, n)
+            rows += [(n, len(x), simhash.parities(np.unique(a)).tolist(), simhash.parities(np.unique(x)).tolist(), len(set(a) & set(x)) / len(set(a) | set(x))) for x in (b, c)]
+    df = spark.createDataFrame(rows, "n int, m int, a array<long>, b array<long>, like double")
+    got = [(r.like, r.near) for r in df.select("like", simhash.may_be_alike("n", "m", "a", "b").alias("near")).collect()]
+    assert all(near for like, near in got if like >= 0.8) and sum(like >= 0.8 for like, _ in got) >= 36
+    assert not any(near for like, near in got if like < 0.1)
+
+
+def test_keep_one_goes_by_fingerprints_first(spark):
+    rng = np.random.default_rng(9)
+    base = [[f"g{g}x{i}" for i in range(400)] for g in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w[:-1], "other"]) for w in base] + [" ".join(rng.permutation(base[0]))]
+    fps = [simhash.majority(simhash.shingle_hashes(t)) for t in texts]
+    close = [(a, b) for b in range(13) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len(close) >= 4 and all(b == a + 6 for a, b in close)
+    slim = docs(spark, texts).selectExpr("doc_id", "xxhash64(text) th", "text")
+    prints = simhash.shingle_prints(slim)
+    ids = {r.set_id: r.doc_id for r in prints.collect()}
+    firsts = prints.selectExpr("set_id", "named_struct('none', false, 'doc_id', doc_id, 'th', th) first", "n", "fp", "odd")
+    got = {tuple(sorted((ids[r.u], ids[r.v]))) for r in simhash.print_links(slim, firsts).collect()}
+    assert got == set(close)
