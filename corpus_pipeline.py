@@ -34,6 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more.
 
+    SimHash fingerprints and Golay keys link first; an exact prefix join finds the copies too many bits apart for them.
+
     Texts without words are one group. Of repeated rows one stays; of one id with several texts each is its own document.
     Null ids stay only where all of a group are null. All columns stay. An empty table gives an empty one.
     """

@@ -15,6 +15,9 @@ Null text counts as empty; texts without words have fingerprint zero and link li
 Repeated rows stay; a null id never becomes a component's id unless all its ids are null. An empty table
 gives an empty result; other columns do not matter. Texts of any length are read whole. Ties of the
 smallest id are copies of one id. Fingerprints with very many copies meet their class by broadcast.
+
+keep_one, the pipeline's stage, takes the same steps with five-word shingles: fingerprints, Golay keys, links of at most
+two bits, components. It adds the exact likeness of each link, and a search for the near copies that lie further apart.
 """
 
 from __future__ import annotations
