@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +53,19 @@ def drop_stash(df: DataFrame) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+_holding: list = []
+
+
+def hold_memo(owner: str, forget: Callable[[], None]) -> None:
+    """To be called by a task before it uses what its Python worker remembers for `owner`: what it remembers for another goes.
+
+    Workers are used again by the next stage, and would otherwise hold the words of all stages at once.
+    """
+    if _holding and _holding[0] != owner:
+        _holding[1]()
+    _holding[:] = owner, forget
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, whatever it has."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
-from .unigram import META, Lattice, lattice, model_bytes, pre_tokens
+from .common import hold_memo, read_table, stash
+from .unigram import META, Lattice, forget_lattices, lattice, model_bytes, pre_tokens
 
 CHUNK, BLOCK, MEMO, NONE, SLICE, LONG = 32_768, 64, 200_000, -(1 << 60), 1 << 18, 200
 
@@ -72,8 +72,14 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
+def forget() -> None:
+    _encoders.clear()
+    forget_lattices()
+
+
 def encoder(model: bytes) -> Encoder:
     """One for each Python worker."""
+    hold_memo("sentencepiece", forget)
     if (key := hash(model)) not in _encoders:
         _encoders[key] = Encoder(lattice(model))
     return _encoders[key]

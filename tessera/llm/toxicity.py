@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stash
+from .common import hold_memo, read_table, stash
 from .labels import fold, training_ids
 
 BUCKETS, DIM, SAMPLE, EPOCHS, BATCH, RATE, SCALE, BIAS, MEMO = 1 << 18, 4, 1500, 5, 64, 0.3, 100.0, -4.0, 500_000
@@ -153,6 +153,7 @@ _memo: dict[bytes, tuple[dict[str, float], list[float]]] = {}
 
 
 def score_texts(model: Model, texts: Iterator[str | None]) -> list[float]:
+    hold_memo("toxicity", _memo.clear)
     key = hashlib.sha256(model.weight.tobytes() + repr(model.bias).encode()).digest()
     if key not in _memo:
         _memo.clear()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import hold_memo, read_table
 
 META, MEMO = "▁", 400_000
 #: Characters of texts that are counted together, and the longest word that is remembered.
@@ -190,6 +190,10 @@ def lattice(model: bytes) -> Lattice:
     return _lattices[key]
 
 
+def forget_lattices() -> None:
+    _lattices.clear()
+
+
 def pre_tokens(text: str) -> list[str]:
     return _WORD.findall(text)
 
@@ -202,6 +206,7 @@ def token_counts(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memo("token counts", forget_lattices)
         lat = lattice(model)
         memo = lat.counts
         for b in batches:
