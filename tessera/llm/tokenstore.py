@@ -36,7 +36,9 @@ ROLL, MIN_IDS, MAX_IDS, MASK_BITS, MEMO = 8, 512, 8192, 11, 500_000
 WORD_BPE = "word_bpe_49k.json"
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
 #: White space to Python but not to the tokenizer, and what may begin a special token: encoded as a whole.
-WHOLE = re.compile("[\x1c-\x1f]|<\\|")
+WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
+#: Characters whose lower case or composition is not plain. A text without them is put in lower case as one, as the normalizer would.
+FOREIGN = re.compile("[\u0130\u0250-\U0010ffff]")
 
 
 class WordEncoder:
@@ -71,7 +73,7 @@ class WordEncoder:
         out, width = [], np.dtype(self.dtype).itemsize
         for lo in range(0, len(words), 2000):
             part = words[lo : lo + 2000]
-            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.dtype)
+            ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.dtype)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(ends) != len(part):  # a word without its mark: ask one by one
                 out += self._ids(part)
@@ -110,7 +112,9 @@ class WordEncoder:
     @staticmethod
     def _words(text: str) -> list[str] | None:
         """Pieces that encode one by one as the whole does; None: no such pieces."""
-        return None if WHOLE.search(text) else text.split()
+        if any(map(text.__contains__, WHOLE)):
+            return None
+        return (text.lower() if text.isascii() or not FOREIGN.search(text) else text).split()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as bytes."""

@@ -277,3 +277,28 @@ def test_keep_one_goes_by_fingerprints_first(spark):
     firsts = prints.selectExpr("set_id", "named_struct('none', false, 'doc_id', doc_id, 'th', th) first", "n", "fp", "odd")
     got = {tuple(sorted((ids[r.u], ids[r.v]))) for r in simhash.print_links(slim, firsts).collect()}
     assert got == set(close)
+
+
+def test_token_store_puts_plain_texts_in_lower_case_once(monkeypatch):
+    """As the library does, whatever letters stand in a text; forms of a word in plain texts are learnt once."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(tokenstore.WORD_BPE)
+    enc, tokenizer = tokenstore.WordEncoder(open(path, encoding="utf-8").read(), "<u2"), Tokenizer.from_file(path)
+    texts = ["Word WORD word, Éa ÉA éa\u0130 ÇA\u0301 ΟΔΟΣ", "Word WORD word, Éa ÉA éa ÇA", "STRASSE straße Ǆ \u212aelvin \u017f", "", "I'LL DON'T <|ENDOFTEXT|>", "A\x1cB", "X,, Y... <| z"]
+    assert [np.frombuffer(x, "<u2").tolist() for x in enc.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = tokenstore.WordEncoder(open(path, encoding="utf-8").read(), "<u2")
+    assert len(list(plain.encode(["Word WORD word Éa ÉA éa"]))) == 1 and set(plain.memo) == {"word", "éa"}
+
+
+def test_worker_remembers_for_one_operator_at_a_time():
+    from tessera.llm.common import hold_memo
+
+    hold_memo("none", lambda: None)
+    model = toxicity.fit([], np.zeros(0))
+    toxicity.score_texts(model, ["some words"])
+    assert toxicity._memo
+    sentencepiece.encoder(unigram.model_bytes()).encode("▁some▁words")
+    assert not toxicity._memo and sentencepiece._encoders and unigram._lattices
+    toxicity.score_texts(model, ["some words"])
+    assert toxicity._memo and not sentencepiece._encoders and not unigram._lattices
