@@ -66,7 +66,8 @@ def keys(rows: DataFrame) -> DataFrame:
 
     One small expression in a loop over the rules: an expression for each rule makes methods too large to compile.
     """
-    rules = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in key_rules()))
+    every, short, long = (F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in r.items())) for r in key_rules() if r["tau"] in taus)) for taus in ((1, TAU), (1,), (TAU,)))
+    rules = F.when(F.col("len") >= SHORT + TAU, long).when(F.col("len") < SHORT, short).otherwise(every)  # the others would be thrown out below
     more = [c for c in rows.columns if c not in ("line", "len")]
     each = rows.select(*more, "line", "len", F.explode_outer(rules).alias("r"))
     each = each.select(*more, "line", "len", "r.tau", "r.i", "r.shift", "r.index", (F.col("len") - F.col("r.delta")).alias("n"))  # n: the length of the indexed line
@@ -168,9 +169,8 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: i
     placed = live.groupBy("key", "lid").agg(F.max("index").alias("index")).join(where, "lid").select("key", F.struct("first", "lid").alias("at"), "index", "c")
     placed = stash(placed, "line-members")
 
-    late, used, reps = None, None, REPS
+    late, used, reps, rest = None, None, REPS, placed
     while True:
-        rest = placed.join(late, placed["at.lid"] == late["lid"], "left_anti") if late is not None else placed
         comparers = placed if used is None else placed.join(used, "key", "left").where("last is null or at > last").select("key", "at", "index", "c")
         if used is not None:  # only keys that still have lines to be judged
             comparers = comparers.join(rest.groupBy("key").agg(F.max("at").alias("top")), "key").where("at < top").select("key", "at", "index", "c")
@@ -185,9 +185,13 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: i
         # the built-in distance, with its own bound, throws most of the far pairs out at a few steps each; both forms are exact
         near = F.when(F.levenshtein("a", "b", TAU) >= 0, within(F.col("a"), F.col("b")))
         found = both.where(near <= allowed).select(F.col("v").alias("lid"))
-        late = stash((found if late is None else found.union(late)).distinct(), "line-late")
+        now = stash(found.distinct(), "line-late")
+        late = now if late is None else late.union(now)  # a line that is late is judged no more, so none comes twice
         last = chosen.groupBy("key").agg(F.max("at").alias("last"))
         used = stash(last if used is None else last.union(used).groupBy("key").agg(F.max("last").alias("last")), "line-used")
+        # a line that is late is done, and on its key every line up to the last comparer: it has met all before it there
+        open_keys = rest.join(used, "key", "left").where("last is null or at > last").select("key", "at", "index", "c")
+        rest = stash(open_keys.join(now, open_keys["at.lid"] == now["lid"], "left_anti"), "line-rest")
         reps *= GROW
     return places, firsts, late if late is not None else ends.limit(0)
 

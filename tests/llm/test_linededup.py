@@ -89,3 +89,21 @@ def test_group_of_near_copies_and_columns_of_any_name(spark, monkeypatch):
     assert got == want and len(got) > 200
     out = linededup.dedup(df)
     assert out.columns == df.columns and out.count() == len(docs)
+
+
+def test_lines_done_on_a_key_are_not_carried_on(spark, monkeypatch):
+    """A line that has met every earlier line of a key leaves it, so steps get smaller; before, each read all lines not late."""
+    head, words = "these twenty words or so stand first in every one of the lines ", [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    docs = [(i, f"{head}{w * 9} {w[::-1] * 9}") for i, w in enumerate(words[:90])]
+    kept, old = [], linededup.stash
+
+    def stash(df, name, **options):
+        out = old(df, name, **options)
+        if name in ("line-members", "line-rest"):
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(linededup, "stash", stash)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.no) for r in linededup.dropped(df).collect()} == brute(docs)
+    assert len(kept) >= 3 and kept[0] > kept[1] > kept[2] and kept[-1] <= 1  # the last line of a key is nobody's comparer
