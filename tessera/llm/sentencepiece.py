@@ -165,8 +165,12 @@ def _ids_batch(ids: list, names: tuple[str, ...], raws: list[bytes], *more: pa.A
     return pa.RecordBatch.from_arrays([*ids, lists, *more], names=list(names))
 
 
-def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids (array<int>), text_crc32 for every row."""
+def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """doc_id, ids (array<int>), text_crc32 for every row.
+
+    With `check` also round_trip: whether the ids decode to the text. The worker that made the ids decodes them, so a
+    task has one Python worker and not one more for decode(); only giants are decoded after their chunks meet.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.crc32(F.translate(text, META, " ").cast("binary")).alias("text_crc32"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
@@ -176,15 +180,20 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         for b in batches:
             lo = 0
             while lo < b.num_rows:
-                raws, seen, hi = [], 0, lo
+                raws, goods, seen, hi = [], [], 0, lo
                 while hi < b.num_rows and seen < SLICE:
                     t = b.column(1)[hi].as_py()
                     raws.append(enc.encode(enc.lat.normalize(t)))
+                    if check:
+                        goods.append(decode_ids(enc.lat, np.frombuffer(raws[-1], "<i4")) == t.replace(META, " "))
                     seen, hi = seen + len(t) + 64, hi + 1
-                yield _ids_batch([b.column(0).slice(lo, hi - lo)], ("doc_id", "ids", "text_crc32"), raws, b.column(2).slice(lo, hi - lo))
+                more = [pa.array(goods, pa.bool_())] if check else []
+                yield _ids_batch([b.column(0).slice(lo, hi - lo)], names, raws, b.column(2).slice(lo, hi - lo), *more)
                 lo = hi
 
-    small = slim.where(F.char_length("text") <= chunk).mapInArrow(whole, f"doc_id {id_type}, ids array<int>, text_crc32 long")
+    names = ("doc_id", "ids", "text_crc32", *["round_trip"] * check)
+    kinds = f"doc_id {id_type}, ids array<int>, text_crc32 long" + ", round_trip boolean" * check
+    small = slim.where(F.char_length("text") <= chunk).mapInArrow(whole, kinds)
 
     width = lattice(model).longest
     giants = slim.where(F.char_length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
@@ -263,7 +272,10 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
 
     pieces = parts.join(fixed, ["uid", "no"]).select("uid", "no", "core", "part", "start", "stop").mapInArrow(traced, "uid long, no int, ids array<int>")
     joined = pieces.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))  # one document, a row of the result
-    return small.union(named.join(joined, "uid").select("doc_id", "ids", "text_crc32"))
+    large = named.join(joined, "uid").select("doc_id", "ids", "text_crc32")
+    if check:
+        large = decode(large, model).withColumn("round_trip", F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32"))
+    return small.union(large.select(*names))
 
 
 def decode_ids(lat: Lattice, ids: np.ndarray) -> str:
