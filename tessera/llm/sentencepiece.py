@@ -40,33 +40,29 @@ class Encoder:
     def __init__(self, lat: Lattice) -> None:
         self.lat, self.memo, self.old = lat, {}, {}
 
-    def _learn(self, words: set[str]) -> None:
+    def _found(self, texts: list[str]) -> list[list[tuple[bytes, int]]]:
+        """(ids, score) of each pre-token of each text; the words that are new in any of them are learned at once."""
         if len(self.memo) > MEMO:
             self.old, self.memo = self.memo, {}
         memo, old = self.memo, self.old
-        new = words.difference(memo)
-        known = {w for w in new if w in old}  # intersection() would walk all of a dict
-        memo.update({w: old[w] for w in known})
-        memo.update(self.lat.trie_ids(new - known))
-
-    def _found(self, text: str) -> list[tuple[bytes, int]]:
-        """(ids, score) of each pre-token."""
-        words = pre_tokens(text)
-        new = set(words)
-        if not new <= self.memo.keys():
-            long = {w for w in new if len(w) > LONG}
-            self._learn(new - long)
-            if long:
-                own = {w: self.lat.best_bytes(w) for w in long}
-                return [own[w] if w in own else self.memo[w] for w in words]
-        return list(map(self.memo.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a normalized text, as bytes."""
-        return b"".join([x[0] for x in self._found(text)])
+        split = [pre_tokens(t) for t in texts]
+        new = set().union(*split).difference(memo)
+        long = {w for w in new if len(w) > LONG}
+        known = {w: old[w] for w in new if w in old}  # intersection() would walk all of a dict
+        memo.update(known)
+        memo.update(self.lat.all_ids(new.difference(known, long)))
+        memo.update({w: self.lat.best_bytes(w) for w in long})
+        out = [list(map(memo.__getitem__, words)) for words in split]
+        for w in long:  # not remembered
+            del memo[w]
+        return out
+
+    def encode(self, *texts: str) -> list[bytes]:
+        """The ids of normalized texts, as bytes."""
+        return [b"".join([x[0] for x in words]) for words in self._found(list(texts))]
 
     def score(self, text: str) -> int:
-        return sum([x[1] for x in self._found(text)])
+        return sum([x[1] for x in self._found([text])[0]])
 
 
 _encoders: dict[int, Encoder] = {}
@@ -180,14 +176,12 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         for b in batches:
             lo = 0
             while lo < b.num_rows:
-                raws, goods, seen, hi = [], [], 0, lo
+                texts, seen, hi = [], 0, lo
                 while hi < b.num_rows and seen < SLICE:
-                    t = b.column(1)[hi].as_py()
-                    raws.append(enc.encode(enc.lat.normalize(t)))
-                    if check:
-                        goods.append(decode_ids(enc.lat, np.frombuffer(raws[-1], "<i4")) == t.replace(META, " "))
-                    seen, hi = seen + len(t) + 64, hi + 1
-                more = [pa.array(goods, pa.bool_())] if check else []
+                    texts.append(b.column(1)[hi].as_py())
+                    seen, hi = seen + len(texts[-1]) + 64, hi + 1
+                raws = enc.encode(*map(enc.lat.normalize, texts))
+                more = [pa.array([decode_ids(enc.lat, np.frombuffer(r, "<i4")) == t.replace(META, " ") for r, t in zip(raws, texts, strict=True)], pa.bool_())] if check else []
                 yield _ids_batch([b.column(0).slice(lo, hi - lo)], names, raws, b.column(2).slice(lo, hi - lo), *more)
                 lo = hi
 
@@ -268,7 +262,7 @@ def encode(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for i in range(b.num_rows):
                 core, part, start, stop = (b.column(k)[i].as_py() for k in (2, 3, 4, 5))
-                yield _ids_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1)], ("uid", "no", "ids"), [enc.encode(part[start : core + stop])])
+                yield _ids_batch([b.column(0).slice(i, 1), b.column(1).slice(i, 1)], ("uid", "no", "ids"), enc.encode(part[start : core + stop]))
 
     pieces = parts.join(fixed, ["uid", "no"]).select("uid", "no", "core", "part", "start", "stop").mapInArrow(traced, "uid long, no int, ids array<int>")
     joined = pieces.groupBy("uid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))  # one document, a row of the result

@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,11 @@ PIECES = "piece_bpe_32k.model"
 _WORD = re.compile(f"{META}+[^{META}]*|[^{META}]+")
 
 
+def _slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """Where to look for keys first in a table of a power of two."""
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (size - 1).bit_length())).astype(np.int64)
+
+
 class Lattice:
     """Pieces and scores of a model file (bytes of a SentencePiece model)."""
 
@@ -55,6 +61,7 @@ class Lattice:
                 node = node.setdefault(c, {})
             node[""], node["id"] = self.scores[i], i
         self.raw_ids = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
+        self._arrays = None
 
     @staticmethod
     def normalize(text: str) -> str:
@@ -152,6 +159,106 @@ class Lattice:
             last = word
         return out
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie as arrays: a hash table (keys: node and character; -1 is free), the nodes it leads to, each node's piece or -1, each piece's score."""
+        if self._arrays is None:
+            keys, ends, nodes = [], [-1], [self.trie]
+            for at, node in enumerate(nodes):
+                for c, to in node.items():
+                    if isinstance(to, dict):
+                        keys.append((at << 21 | ord(c), len(nodes)))
+                        nodes.append(to)
+                        ends.append(to.get("id", -1))
+            size = 1 << (4 * len(keys) + 16).bit_length()
+            table, goes = np.full(size, -1, dtype=np.int64), np.zeros(size, dtype=np.int64)
+            for (key, to), slot in zip(keys, _slots(np.array([k for k, _ in keys], dtype=np.int64), size).tolist(), strict=True):
+                while table[slot] != -1:
+                    slot = (slot + 1) % size
+                table[slot], goes[slot] = key, to
+            self._arrays = table, goes, np.array(ends, dtype=np.int64), np.array(self.scores, dtype=np.int64)
+        return self._arrays
+
+    def _steps(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The trie nodes that these nodes reach with these characters, or -1."""
+        table, goes, _, _ = self._tables()
+        keys = nodes << 21 | codes
+        slots = _slots(keys, len(table))
+        found = table[slots]
+        out = np.where(found == keys, goes[slots], -1)
+        left = np.flatnonzero((found != keys) & (found != -1))
+        while len(left):
+            slots[left] = (slots[left] + 1) % len(table)
+            found = table[slots[left]]
+            hit = found == keys[left]
+            out[left[hit]] = goes[slots[left[hit]]]
+            left = left[~hit & (found != -1)]
+        return out
+
+    def all_ids(self, words: Iterable[str]) -> dict[str, tuple[bytes, int]]:
+        """What trie_ids gives of words that are not empty, for all at once: pieces from every place first, then best scores by place in the word, then paths."""
+        words = list(words)
+        if not words:
+            return {}
+        _, _, piece_of, score_of = self._tables()
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        start, end = np.repeat(starts, sizes), np.repeat(ends, sizes)  # of the word that a character stands in
+        at, node, found = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), []
+        alone = np.zeros(len(codes), dtype=bool)
+        for size in range(1, self.longest + 1):
+            node = self._steps(node, codes[at + size - 1])
+            at, node = at[node >= 0], node[node >= 0]
+            piece = piece_of[node]
+            own = piece >= 0
+            found.append((at[own], np.full(np.count_nonzero(own), size), piece[own]))
+            if size == 1:
+                alone[at[own]] = True
+            on = at + size < end[at]
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        unknown = np.flatnonzero(~alone)
+        found.append((unknown, np.full(len(unknown), 1), np.full(len(unknown), -1)))
+        first, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        last = first + size - 1
+        place = last - start[last]
+        order = np.argsort(last, kind="stable")
+        order = order[np.argsort(place[order].astype(np.int16 if sizes.max() < 1 << 15 else np.int64), kind="stable")]
+        first, size, piece, last, place = (x[order] for x in (first, size, piece, last, place))
+        add, bits = np.where(piece >= 0, score_of[piece], self.unk_score), self.longest.bit_length()
+        opens = first == start[first]
+        best, back, chosen = (np.zeros(len(codes), dtype=np.int64) for _ in range(3))
+        bounds = np.searchsorted(place, np.arange(place[-1] + 2)).tolist()
+        for lo, hi in zip(bounds, bounds[1:], strict=False):  # a word's characters in order; the same place of all words at once
+            score = np.where(opens[lo:hi], 0, best[first[lo:hi] - 1]) + add[lo:hi]
+            key = (score << bits) + size[lo:hi]  # of equal scores the longer piece
+            to = last[lo:hi]
+            new = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            top = np.maximum.reduceat(key, new)
+            won = np.flatnonzero(key == np.repeat(top, np.diff(np.append(new, hi - lo))))
+            best[to[new]] = top >> bits
+            back[to[new]] = size[lo:hi][won]
+            chosen[to[new]] = piece[lo:hi][won]
+        on_path, at = np.zeros(len(codes), dtype=bool), ends - 1
+        while len(at):
+            on_path[at] = True
+            before = at - back[at]
+            at = before[before >= start[at]]
+        path = np.flatnonzero(on_path)
+        ids, many = chosen[path], np.ones(len(path), dtype=np.int64)
+        odd = {k: self.unknown_ids(chr(codes[path[k]])) for k in np.flatnonzero(ids < 0).tolist()}
+        if odd:
+            many[list(odd)] = [len(x) for x in odd.values()]
+            ids = np.repeat(ids, many)
+            for lo, x in zip((np.cumsum(many) - many)[list(odd)].tolist(), odd.values(), strict=True):
+                ids[lo : lo + len(x)] = x
+        counts = np.zeros(len(codes), dtype=np.int64)
+        counts[path] = many
+        raw, stops = ids.astype("<i4").tobytes(), (4 * np.cumsum(np.add.reduceat(counts, starts))).tolist()
+        return {w: (raw[lo:hi], s) for w, lo, hi, s in zip(words, [0, *stops], stops, best[ends - 1].tolist(), strict=False)}
+
     def forward(self, text: str, n: int, entry: dict[int, int], core: int) -> tuple[list, list[int]]:
         """Scores and back pointers of the places up to n, from `entry` scores, over pieces that start before core.
 

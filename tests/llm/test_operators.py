@@ -302,3 +302,20 @@ def test_worker_remembers_for_one_operator_at_a_time():
     assert not toxicity._memo and sentencepiece._encoders and unigram._lattices
     toxicity.score_texts(model, ["some words"])
     assert toxicity._memo and not sentencepiece._encoders and not unigram._lattices
+
+
+def test_all_words_of_a_slice_are_learned_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    letters = list("▁abcehinot1-\n\0é中😀")
+    words = {"".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(3000)} | {"a", "▁", "中" * 150, "x" * 199, "\0", "a\0"}
+    words.discard("")
+    lat = unigram.lattice(unigram.model_bytes())
+    got = lat.all_ids(words)
+    assert lat.all_ids([]) == {} and got == {w: lat.best_bytes(w) for w in words}
+    monkeypatch.setattr(sentencepiece, "MEMO", 50)
+    enc, asked = sentencepiece.Encoder(lat), []
+    monkeypatch.setattr(lat, "all_ids", lambda new, f=lat.all_ids: asked.append(set(new)) or f(new))
+    for lo in range(0, 400, 100):  # generations turn over, long words are not remembered
+        texts = [lat.normalize(f"{w} some text {'long' * 60}{lo} {w}") for w in sorted(words)[lo : lo + 100]]
+        assert enc.encode(*texts) == [lat.best_bytes(t)[0] for t in texts]
+    assert len(asked) == 4 and not any(len(w) > sentencepiece.LONG for w in enc.memo)
