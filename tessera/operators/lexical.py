@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions import tokens as G
 
 K1, B = 1.5, 0.75
 
@@ -35,26 +36,54 @@ def doc_stats(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc", F.size("tokens").cast("long").alias("length"))
 
 
+def unique(docs: DataFrame, doc: str = "doc_id") -> bool:
+    """Whether no two rows have the same id; reads the ids only."""
+    return docs.groupBy(doc).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() == 0
+
+
+def counted(docs: DataFrame, doc: str = "doc_id", text: str = "text", composed: bool = False) -> DataFrame:
+    """token, doc, tf of a corpus, without a shuffle unless ids repeat (their rows are added up)."""
+    rows = G.counts(dealt(docs.select(doc, text)), doc, text, composed).select("token", "doc", "tf")
+    return rows if unique(docs, doc) else rows.groupBy("token", "doc").agg(F.sum("tf").alias("tf"))
+
+
 def inverted_index(post: DataFrame, block: int = 1_000_000) -> DataFrame:
     """token, block, docs: the sorted documents of each token, by blocks of `block` ids, so that no array outgrows one."""
-    return post.groupBy("token", F.expr(f"doc div {block}").alias("block")).agg(F.sort_array(F.collect_set("doc")).alias("docs"))
+    return post.groupBy("token", F.expr(f"doc div {block}").alias("block")).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
 
 
 def tfidf_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
     """token, doc, weight = tf ln((N + 1) / (1 + df))."""
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return post.join(df, "token").crossJoin(F.broadcast(n_docs)).select("token", "doc", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))
+    return _with_df(post).crossJoin(F.broadcast(n_docs)).select("token", "doc", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))
 
 
-def bm25_index(post: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """token, doc, weight."""
+def _with_df(post: DataFrame) -> DataFrame:
+    """post with df, the number of rows of its token: rows move once, and no token's rows are in memory at once."""
+    return post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+
+
+def _bm25_weights(rows: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """token, doc, weight of rows(token, doc, tf, df, length)."""
     _check(k1, b)
     corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))  # one row
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("mean") > 0, 1 - b + b * F.col("length") / F.col("mean")).otherwise(1.0)
-    rows = post.join(df, "token").join(stats, "doc").crossJoin(F.broadcast(corpus))
-    return rows.select("token", "doc", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("weight"))
+    both = rows.crossJoin(F.broadcast(corpus))
+    return both.select("token", "doc", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)).alias("weight"))
+
+
+def bm25_index(post: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """token, doc, weight."""
+    return _bm25_weights(_with_df(post).join(stats, "doc"), stats, k1, b)
+
+
+def bm25_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, composed: bool = False) -> DataFrame:
+    """bm25_index of a corpus. Lengths ride along with the postings, so nothing is joined unless ids repeat."""
+    rows = dealt(docs.select(doc, text))
+    stats = G.lengths(rows, doc, text, composed)
+    if not unique(docs, doc):
+        return bm25_index(counted(docs, doc, text, composed), stats, k1, b)
+    return _bm25_weights(_with_df(G.counts(rows, doc, text, composed)).where("doc is not null"), stats, k1, b)
 
 
 def query_tokens(query: str, keep_stopwords: bool) -> list[str]:
@@ -70,10 +99,9 @@ class Matches:
     no posting of another token is made, and nothing is shuffled but one row of figures.
     """
 
-    def __init__(self, tokens: DataFrame, query: list[str]) -> None:
-        wanted = F.array(*map(F.lit, query)) if query else F.expr("cast(array() as array<string>)")
-        hits = tokens.select("doc", F.size("tokens").alias("length"), F.filter("tokens", lambda t: F.array_contains(wanted, t)).alias("hits"))
-        self.rows = hits.select("doc", "length", F.transform(wanted, lambda q: F.size(F.filter("hits", lambda h: h == q))).alias("tf")).persist()
+    def __init__(self, rows: DataFrame, query: list[str]) -> None:
+        """rows: doc, length, tf (an array by query token)."""
+        self.rows = rows.persist()
         self.query = query
 
     def _scored(self, term) -> DataFrame:
@@ -104,7 +132,8 @@ def _check(k1: float, b: float) -> None:
 
 def matches(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", keep_stopwords: bool = False, composed: bool = False) -> Matches:
     """The documents' matches with a query; keep_stopwords is about the query, documents always lose theirs."""
-    return Matches(tokenized(dealt(docs.select(doc, text)), doc, text, composed=composed), query_tokens(query, keep_stopwords))
+    wanted = query_tokens(query, keep_stopwords)
+    return Matches(G.query_counts(dealt(docs.select(doc, text)), wanted, doc, text, composed), wanted)
 
 
 def ranked(weights: DataFrame, query: str, weight: str, keep_stopwords: bool) -> DataFrame:
@@ -119,9 +148,8 @@ def top(scores: DataFrame, k: int, name: str = "doc") -> DataFrame:
 
 def basic_search(docs: DataFrame, query: str, doc: str = "doc_id", text: str = "text", composed: bool = False) -> DataFrame:
     """Documents that share a token with the query; stopwords count here."""
-    q = query_tokens(query, True)
-    wanted = F.array(*map(F.lit, q)) if q else F.expr("cast(array() as array<string>)")
-    return tokenized(docs, doc, text, keep_stopwords=True, composed=composed).where(F.arrays_overlap("tokens", wanted)).select("doc")
+    rows = G.query_counts(dealt(docs.select(doc, text)), query_tokens(query, True), doc, text, composed, stopwords=True)
+    return rows.where(F.exists("tf", lambda x: x > 0)).select("doc")
 
 
 def with_ranks(scores: DataFrame, name: str, parts: int = 64) -> DataFrame:

@@ -55,3 +55,41 @@ def test_fusion_takes_the_whole_lexical_list(spark, tmp_path):
     ranks = spark.range(1000).selectExpr("id AS doc", "cast(id % 7 AS double) AS score")
     want = {i: k for k, i in enumerate(sorted(range(1000), key=lambda i: (-(i % 7), i)), 1)}
     assert {r.doc: r.k for r in lexical.with_ranks(ranks, "k").collect()} == want
+
+
+ODD_TEXTS = [
+    "Node.js and C++ c# .NET $HOME x.y-z_w a--b c#b c++.d 12.5 3-4 the.of is-on", "data center\tdata\x0bcenter data\ncenter data\r\ncenter data\x85center data center", "th at th is the th at", "a bb bb cc ccc",
+    "12 34 56x 78", "Straße GROẞE ÎLE naïve ΑΣ ΑΣ", "x" * 30 + " " + "y" * 20 + " " + "z" * 25, "(data) center, data (center) -data center- 'data' center", "data  \t center data \n center", " \n ", "", None, "½ ² ⅷ ٣ 中文 テスト の字 éte café éte", "a." * 70 + "b " + "w" * 100, "😀 data😀center data 😀 center",
+]
+
+
+def test_arrow_grammar_equals_the_columns(spark, monkeypatch):
+    from tessera.functions import tokens as G
+
+    docs = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string")
+    for keep in (False, True):
+        want = {r.doc: sorted(r.tokens) for r in lexical.tokenized(docs, keep_stopwords=keep).collect()}
+        texts = {r.doc_id: r.t for r in docs.select("doc_id", T.folded(T.nfc(F.col("text"))).alias("t")).collect()}
+        assert {i: sorted(G.Grammar(keep).of(t)) for i, t in texts.items()} == want
+        monkeypatch.setattr(G, "MEMO", 2)  # what is forgotten is found again
+        g = G.Grammar(keep)
+        assert {i: sorted(g.of(t)) for i, t in texts.items()} == want
+    t = lexical.tokenized(docs)
+    assert sorted(map(tuple, lexical.counted(docs).select("token", "doc", "tf").collect())) == sorted(map(tuple, lexical.postings(t).select("token", "doc", "tf").collect()))
+    assert sorted(map(tuple, G.lengths(docs).collect())) == sorted(map(tuple, lexical.doc_stats(t).collect()))
+    assert {r.token for r in G.distinct(docs).collect()} == {x for r in t.collect() for x in r.tokens}
+    plan = lexical.counted(docs)._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan and "regexp_extract_all" not in plan
+
+
+def test_indexes_of_repeated_ids(spark):
+    """Rows of one id are added up, as GROUP BY token, doc does; lengths stay those of the rows."""
+    docs = spark.createDataFrame([(1, "apple banana"), (1, "apple"), (2, "banana"), (None, "apple")], "doc_id long, text string")
+    got = {(r.token, r.doc): r.tf for r in lexical.counted(docs).collect()}
+    assert got == {("apple", 1): 2, ("banana", 1): 1, ("applebanana", 1): 1, ("banana", 2): 1, ("apple", None): 1}
+    t = lexical.tokenized(docs)
+    rows = lexical.bm25_index(lexical.postings(t), lexical.doc_stats(t)).collect()
+    assert sorted(map(tuple, lexical.bm25_of(docs).collect())) == sorted(map(tuple, rows)) and len(rows) == 7
+    once = docs.where("text <> 'apple' or doc_id is null")
+    t = lexical.tokenized(once)
+    assert sorted(map(tuple, lexical.bm25_of(once).collect())) == sorted(map(tuple, lexical.bm25_index(lexical.postings(t), lexical.doc_stats(t)).collect()))
