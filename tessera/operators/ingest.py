@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,8 @@ BOILERPLATE = tuple(
 NAVIGATION = ("about us", "contact us", "follow us", "home", "log in", "menu", "next", "previous", "related articles", "search", "share", "sign in", "sign up", "skip to content", "table of contents")
 ERROR_TITLES = ("access denied", "forbidden", "internal server error", "just a moment", "request blocked", "service unavailable", "too many requests", "verify you are human")
 SOFT_404 = r"^(page (does not exist|not found)|requested page (unavailable|not found)|404(\s*[-:]?\s*(not found|page not found|error))?)[.! ]*$"
+#: Texts of fewer words are judged by their first line, too.
+LEAD_WORDS = 160
 ERROR_PAGE = rf"^({'|'.join(ERROR_TITLES)})[.! ]*$"
 
 
@@ -83,44 +87,76 @@ class QualityRules:
             raise ValueError("ratios must be within [0, 1]")
 
 
-def quality(docs: DataFrame, rules: QualityRules = QualityRules(), doc: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
-    """doc, seven metrics and reason (null: accepted; else the first rule that the document fails)."""
-    content = F.coalesce(F.col(text), F.lit(""))
-    heading = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
-    slim = docs.select(F.col(doc).alias("doc"), T.words_of(content).alias("w"), T.lines_of(content).alias("l"), F.char_length(F.regexp_replace(content, r"(?U)^\s+|\s+$", "")).cast("long").alias("characters"), F.lower(F.trim(F.split(heading, r"\|")[0])).alias("t"))
+#: What `T.WORD` matches, and the white space of Unicode.
+_WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
+_BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_MENUS = frozenset(NAVIGATION)
+_MEASURES = {"characters": pa.int64(), "words": pa.int64(), "unique_words": pa.int64(), "all": pa.int64(), "own": pa.int64(), "boiler": pa.int64(), "nav": pa.int64(), "lead": pa.string()}
 
-    def chars(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0), lambda s, v: s + F.char_length(v))
 
-    low = F.transform("l", lambda x: F.struct(x.alias("x"), F.lower(x).alias("low")))
-    rows = slim.select(
-        "doc", "characters", "t", F.size("w").cast("long").alias("words"), F.size(F.array_distinct("w")).cast("long").alias("unique_words"), F.lower(F.coalesce(F.get("l", F.lit(0)), F.lit(""))).alias("lead"),
-        chars(F.col("l")).alias("all"), chars(F.array_distinct("l")).alias("own"),
-        chars(F.transform(F.filter(low, lambda x: x["low"].rlike("|".join(BOILERPLATE))), lambda x: x["x"])).alias("boiler"), chars(F.transform(F.filter(low, lambda x: x["low"].isin(list(NAVIGATION))), lambda x: x["x"])).alias("nav"),
-    )
-    total = F.greatest(F.lit(1), F.col("all"))
-    rows = rows.select(
-        "doc", "t", "lead", "characters", "words", "unique_words", (F.col("unique_words") / F.greatest(F.lit(1), F.col("words"))).alias("unique_ratio"), (F.col("boiler") / total).alias("boilerplate_ratio"),
-        (F.col("nav") / total).alias("navigation_ratio"), F.when(F.col("all") > 0, 1 - F.col("own") / total).otherwise(0.0).alias("repeated_line_ratio"),
-    )
+def measures(text: str) -> tuple:
+    """The values of _MEASURES: counts, characters of all, distinct, boilerplate and menu lines, and the first line of a text short enough for it to matter."""
+    words = _WORD.findall(text.lower().replace("ß", "ss"))
+    lines = [x for x in (raw.strip(_BLANKS) for raw in text.splitlines()) if x]
+    low = [x.lower() for x in lines]
+    boiler = sum(len(x) for x, y in zip(lines, low, strict=True) if any(phrase in y for phrase in BOILERPLATE))
+    nav = sum(len(x) for x, y in zip(lines, low, strict=True) if y in _MENUS)
+    lead = lines[0] if lines and len(words) < LEAD_WORDS else ""
+    return len(text.strip(_BLANKS)), len(words), len(set(words)), sum(map(len, lines)), sum(map(len, set(lines))), boiler, nav, lead
+
+
+def _measured(text: str) -> Column:
+    """A struct of _MEASURES, in one pass over each text."""
+    kinds = ", ".join(f"{n}: {'string' if pa.types.is_string(k) else 'bigint'}" for n, k in _MEASURES.items())
+
+    @F.arrow_udf(f"struct<{kinds}>")
+    def measure(texts: pa.Array) -> pa.Array:
+        got = list(zip(*(measures(t.as_py() or "") for t in texts), strict=True)) or [()] * len(_MEASURES)
+        return pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(got, _MEASURES.values(), strict=True)], names=list(_MEASURES))
+
+    return measure(F.col(text).cast("string"))
+
+
+def _ratios(m: Column) -> dict[str, Column]:
+    total = F.greatest(F.lit(1), m["all"])
+    return {
+        "unique_ratio": m["unique_words"] / F.greatest(F.lit(1), m["words"]), "boilerplate_ratio": m["boiler"] / total, "navigation_ratio": m["nav"] / total,
+        "repeated_line_ratio": F.when(m["all"] > 0, 1 - m["own"] / total).otherwise(0.0),
+    }
+
+
+def _reason(m: Column, title: str | None, rules: QualityRules) -> Column:
+    """The first rule that a document fails, or null."""
+    if not rules.enabled:
+        return F.lit(None).cast("string")
+    heading = F.coalesce(F.col(title), F.lit("")) if title else F.lit("")
+    t, lead, r = F.lower(F.trim(F.split(heading, r"\|")[0])), F.lower(m["lead"]), _ratios(m)
 
     def looks_like(pattern: str) -> Column:
-        return F.col("t").rlike(pattern) | (F.col("lead").rlike(pattern) & (F.col("words") < 160))
-
-    thin = (F.col("unique_words") < rules.min_unique_words) | ((F.col("unique_ratio") < rules.min_unique_ratio) & (F.col("unique_words") < 2 * rules.min_unique_words))
-    reason = (
-        F.when(F.col("words") == 0, "empty_content").when(looks_like(SOFT_404), "soft_404").when(looks_like(ERROR_PAGE), "error_page")
-        .when((F.col("boilerplate_ratio") > rules.max_boilerplate_ratio) | (F.col("repeated_line_ratio") > rules.max_repeated_line_ratio), "boilerplate")
-        .when(F.col("navigation_ratio") > rules.max_navigation_ratio, "navigation_content")
-        .when((F.col("words") < rules.min_words) & (F.col("characters") < rules.min_characters), "too_short").when(thin, "insufficient_content")
+        return t.rlike(pattern) | (lead.rlike(pattern) & (m["words"] < LEAD_WORDS))
+
+    thin = (m["unique_words"] < rules.min_unique_words) | ((r["unique_ratio"] < rules.min_unique_ratio) & (m["unique_words"] < 2 * rules.min_unique_words))
+    return (
+        F.when(m["words"] == 0, "empty_content").when(looks_like(SOFT_404), "soft_404").when(looks_like(ERROR_PAGE), "error_page")
+        .when((r["boilerplate_ratio"] > rules.max_boilerplate_ratio) | (r["repeated_line_ratio"] > rules.max_repeated_line_ratio), "boilerplate")
+        .when(r["navigation_ratio"] > rules.max_navigation_ratio, "navigation_content")
+        .when((m["words"] < rules.min_words) & (m["characters"] < rules.min_characters), "too_short").when(thin, "insufficient_content")
     )
-    return rows.withColumn("reason", reason if rules.enabled else F.lit(None).cast("string")).drop("t", "lead")
+
+
+def quality(docs: DataFrame, rules: QualityRules = QualityRules(), doc: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
+    """doc, seven metrics and reason (null: accepted; else the first rule that the document fails)."""
+    rows = docs.select(F.col(doc).alias("doc"), _measured(text).alias("m"), *([F.col(title).alias("t")] if title else []))
+    m = F.col("m")
+    return rows.select("doc", "m.characters", "m.words", "m.unique_words", *(c.alias(n) for n, c in _ratios(m).items()), _reason(m, "t" if title else None, rules).alias("reason"))
 
 
 def accepted(docs: DataFrame, rules: QualityRules = QualityRules(), doc: str = "doc_id", text: str = "text", title: str | None = None) -> DataFrame:
     """Rows of docs that pass every rule, decided row by row: no join."""
-    whole = docs.withColumn("_row", F.struct(*docs.columns))
-    return quality(whole, rules, "_row", text, title).where("reason is null").select("doc.*")
+    name = "_m"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return docs.withColumn(name, _measured(text)).where(_reason(F.col(name), title, rules).isNull()).drop(name)
 
 
 def water_fill(pages: DataFrame, total: int, cap: int) -> DataFrame:

@@ -93,3 +93,19 @@ def test_indexes_of_repeated_ids(spark):
     once = docs.where("text <> 'apple' or doc_id is null")
     t = lexical.tokenized(once)
     assert sorted(map(tuple, lexical.bm25_of(once).collect())) == sorted(map(tuple, lexical.bm25_index(lexical.postings(t), lexical.doc_stats(t)).collect()))
+
+
+def test_quality_measures_equal_the_columns(spark):
+    docs = spark.createDataFrame(list(enumerate([*ODD_TEXTS, "Home\r\nMENU\x0b\x1cPrivacy  POLICY of us  \x1d\x85a-b o'c 'd'\nMENU\n　x　", "Share\n" * 9 + "w " * 200])), "doc_id long, text string")
+    content = F.coalesce("text", F.lit(""))
+    lines, words = T.lines_of(content), T.words_of(content)
+    size = lambda x: F.aggregate(x, F.lit(0), lambda s, v: s + F.char_length(v))
+    low = lambda test: size(F.filter(lines, lambda x: test(F.lower(x))))
+    want = docs.select(
+        "doc_id", F.char_length(F.regexp_replace(content, r"(?U)^\s+|\s+$", "")), F.size(words), F.size(F.array_distinct(words)), size(lines), size(F.array_distinct(lines)),
+        low(lambda x: x.rlike("|".join(ingest.BOILERPLATE))), low(lambda x: x.isin(list(ingest.NAVIGATION))), F.when(F.size(words) < 160, F.coalesce(F.get(lines, F.lit(0)), F.lit(""))).otherwise(""),
+    )
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert {r[0]: tuple(r)[1:] for r in want.collect()} == {i: ingest.measures(t) for i, t in texts.items()}
+    plan = ingest.accepted(docs).select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
