@@ -109,3 +109,37 @@ def test_quality_measures_equal_the_columns(spark):
     assert {r[0]: tuple(r)[1:] for r in want.collect()} == {i: ingest.measures(t) for i, t in texts.items()}
     plan = ingest.accepted(docs).select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan
+
+
+def test_chunking_asks_about_each_part_a_few_times():
+    from tessera.operators import chunks
+
+    class Asked(chunks.SpaceCounter):
+        seen = 0
+
+        def count(self, text):
+            self.seen += len(text)
+            return super().count(text)
+
+        def fits(self, text, most):
+            self.seen += min(len(text), 8 * most)
+            return super().fits(text, most)
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    counter, plain = Asked(), type("Plain", (), {"model_limit": 256, "count": lambda self, t: len(t.split()) + 2, "offsets": lambda self, t: chunks.SpaceCounter().offsets(t)})()
+    got = chunks.structured(text, target=120, most=200, overlap=20, counter=counter)
+    assert len(got) > 100 and got[-1][1].endswith(" w19999") and counter.seen < 30 * len(text)
+    some = text[:9000] + "\n\n" + text[:700]  # a counter that only counts gives the same
+    assert chunks.structured(some, target=40, most=60, overlap=5, counter=plain) == chunks.structured(some, target=40, most=60, overlap=5)
+
+
+def test_pages_go_in_bounded_slices():
+    import pyarrow as pa
+
+    from tessera.functions import html as H
+
+    sizes = [10, H.SLICE // 2, H.SLICE // 2, 3 * H.SLICE, 0, 5]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(["x" * n for n in sizes] + [None, "z"])], names=["key", "html"])
+    parts = list(H.slices(iter([batch, batch.slice(0, 0)]), 1))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(8)) and len(parts) == 4
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= H.SLICE for p in parts)
