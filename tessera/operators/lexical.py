@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import tokens as G
 
 K1, B = 1.5, 0.75
+#: Tasks by token for each part of the files of documents.
+TASKS = 8
 
 
 def dealt(docs: DataFrame) -> DataFrame:
@@ -53,19 +55,32 @@ def inverted_index(post: DataFrame, block: int = 1_000_000) -> DataFrame:
 
 
 def tfidf_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """token, doc, weight = tf ln((N + 1) / (1 + df))."""
+    """token, doc, weight = tf ln((N + 1) / (1 + df)). Pass post through by_token where it is large."""
     return _with_df(post).crossJoin(F.broadcast(n_docs)).select("token", "doc", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))
 
 
+def by_token(post: DataFrame, docs: DataFrame) -> DataFrame:
+    """post dealt out by token, over so many tasks that one's tokens fit in memory: in proportion to the files of docs."""
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return post.where("token is not null").repartition(max(shuffles, TASKS * docs.rdd.getNumPartitions()), "token")
+
+
+def _figures(rows: DataFrame, *by: str, **figures: Column) -> DataFrame:
+    """Figures of rows by some columns, and `most`, a hash's maximum: whoever compares it reads every column of the rows. So nothing is pruned,
+    and figures and rows are read from one shuffle."""
+    return rows.groupBy(*by).agg(*(f.alias(n) for n, f in figures.items()), F.max(F.xxhash64(*rows.columns)).alias("most"))
+
+
 def _with_df(post: DataFrame) -> DataFrame:
-    """post with df, the number of rows of its token: rows move once, and no token's rows are in memory at once."""
-    return post.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token")))
+    """post, dealt out by token, with df, the number of rows of its token: rows move once and are not sorted."""
+    df = _figures(post, "token", df=F.count(F.lit(1))).withColumnRenamed("token", "of").hint("shuffle_hash")
+    always = F.xxhash64(*post.columns) <= F.col("most")  # see _figures
+    return post.join(df, (F.col("token") == F.col("of")) & always).drop("of", "most")
 
 
-def _bm25_weights(rows: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
-    """token, doc, weight of rows(token, doc, tf, df, length)."""
+def _bm25_weights(rows: DataFrame, corpus: DataFrame, k1: float, b: float) -> DataFrame:
+    """token, doc, weight of rows(token, doc, tf, df, length); corpus: one row of n and mean."""
     _check(k1, b)
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.when(F.col("mean") > 0, 1 - b + b * F.col("length") / F.col("mean")).otherwise(1.0)
     both = rows.crossJoin(F.broadcast(corpus))
@@ -74,16 +89,19 @@ def _bm25_weights(rows: DataFrame, stats: DataFrame, k1: float, b: float) -> Dat
 
 def bm25_index(post: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """token, doc, weight."""
-    return _bm25_weights(_with_df(post).join(stats, "doc"), stats, k1, b)
+    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("mean"))
+    return _bm25_weights(_with_df(post).join(stats, "doc"), corpus, k1, b)
 
 
 def bm25_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, composed: bool = False) -> DataFrame:
-    """bm25_index of a corpus. Lengths ride along with the postings, so nothing is joined unless ids repeat."""
+    """bm25_index of a corpus. Lengths ride along with the postings, and the mean is that of their counts: texts are read once unless ids repeat."""
     rows = dealt(docs.select(doc, text))
-    stats = G.lengths(rows, doc, text, composed)
     if not unique(docs, doc):
-        return bm25_index(counted(docs, doc, text, composed), stats, k1, b)
-    return _bm25_weights(_with_df(G.counts(rows, doc, text, composed)).where("doc is not null"), stats, k1, b)
+        return bm25_index(counted(docs, doc, text, composed), G.lengths(rows, doc, text, composed), k1, b)
+    post = by_token(G.counts(rows, doc, text, composed), docs)
+    corpus = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(_figures(post, sum=F.sum("tf")).where("most is not null")).select("n", (F.col("sum") / F.col("n")).alias("mean"))
+    rows = _bm25_weights(_with_df(post), corpus, k1, b)
+    return rows.withColumn("weight", F.when(F.col("doc").isNotNull(), F.col("weight"))).where("weight is not null")  # said so, it stays above the shuffle
 
 
 def query_tokens(query: str, keep_stopwords: bool) -> list[str]:

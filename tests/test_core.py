@@ -143,3 +143,12 @@ def test_pages_go_in_bounded_slices():
     parts = list(H.slices(iter([batch, batch.slice(0, 0)]), 1))
     assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(8)) and len(parts) == 4
     assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= H.SLICE for p in parts)
+
+
+def test_weighted_indexes_read_the_texts_once(spark):
+    docs = spark.createDataFrame([(i, f"apple w{i} banana") for i in range(20)], "doc_id long, text string")
+    post, n = lexical.counted(docs), docs.agg(F.count(F.lit(1)).alias("n"))
+    for rows in (lexical.bm25_of(docs, composed=True), lexical.tfidf_index(lexical.by_token(post, docs), n)):
+        assert len(rows.collect()) == 100
+        plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan and "SortMergeJoin" not in plan
