@@ -13,14 +13,16 @@ from collections.abc import Iterator
 from itertools import chain
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
-#: Runs that a worker remembers, the longest of them, and the rows that go on at once.
-MEMO, LONG, ROWS = 200_000, 64, 1 << 16
+#: Runs that a worker remembers, the longest of them, the rows that go on at once, and the postings that are inverted at once.
+MEMO, LONG, ROWS, INVERTED = 200_000, 64, 1 << 16, 1 << 20
 _A = r"[^\W_]"  # a letter or number: str.isalnum
 _TERM = re.compile(rf"[$.]?{_A}+(?:[._-]{_A}+)*(?:\+\+|#)?")
 _PARTED = re.compile(r"[._-]")
@@ -123,6 +125,70 @@ def counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", composed: b
     return _over_texts(docs, doc, text, composed, run, "length long, token string, tf long")
 
 
+def inverted(docs: DataFrame, block: int, doc: str = "doc_id", text: str = "text", composed: bool = False) -> DataFrame:
+    """token, block, docs: the documents of a token among some neighbouring ones, by blocks of `block` ids; other rows have more of a token's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = grammar()
+        for b in batches:
+            blocks, tokens, sizes, lo = b.column(2).to_pylist(), [], [], 0
+            for i, t in enumerate(b.column(1)):
+                own = set(g.of(t.as_py()))
+                tokens += own
+                sizes.append(len(own))
+                if len(tokens) >= INVERTED or i + 1 == b.num_rows or blocks[i + 1] != blocks[lo]:
+                    coded = pa.array(tokens, pa.string()).dictionary_encode()
+                    codes = coded.indices.to_numpy()
+                    ends = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(coded.dictionary)))])
+                    at = np.repeat(np.arange(lo, i + 1), sizes)[np.argsort(codes, kind="stable")]
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(0).take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([blocks[lo]] * len(coded.dictionary), pa.int64()), lists], names=["token", "block", "docs"])
+                    tokens, sizes, lo = [], [], i + 1
+
+    content = F.col(text) if composed else T.nfc(F.col(text))
+    slim = docs.select(F.col(doc).alias("doc"), T.folded(content).alias("text"), F.expr(f"{doc} div {block}").alias("block"))
+    return slim.mapInArrow(run, f"token string, block long, docs array<{slim.schema['doc'].dataType.simpleString()}>")
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """token, block, docs of rows(token, block, docs) that lie sorted by token and block: the sorted documents of each, once. No document may be null."""
+
+    def joined(b: pa.Table) -> pa.RecordBatch:
+        """One row for each run of rows with one key."""
+        b = b.combine_chunks().to_batches()[0]
+        lists, new = b.column(2), _starts(b)
+        docs, of = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((docs, of))
+        docs, of = docs[order], of[order]
+        once = np.concatenate([[True], (docs[1:] != docs[:-1]) | (of[1:] != of[:-1])])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of[once], minlength=int(new.sum())))])
+        first = pa.array(np.flatnonzero(new))
+        return pa.RecordBatch.from_arrays([b.column(0).take(first), b.column(1).take(first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(docs[once], lists.type.value_type))], names=["token", "block", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one key at the end
+        for b in batches:
+            if not b.num_rows:
+                continue
+            last = int(np.flatnonzero(_starts(b))[-1])
+            same = held and held[0].column(0)[0] == b.column(0)[0] and held[0].column(1)[0] == b.column(1)[0]
+            if last or (held and not same):
+                yield joined(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield joined(pa.Table.from_batches(held))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _starts(b: pa.RecordBatch) -> np.ndarray:
+    """Which rows have another token or block than the row before."""
+    n = b.num_rows - 1
+    out = [pc.not_equal(c.slice(0, n), c.slice(1)) for c in (b.column(0), b.column(1))]
+    return np.concatenate([[True], pc.or_(*out).to_numpy(zero_copy_only=False).astype(bool)])
+
+
 def query_counts(docs: DataFrame, query: list[str], doc: str = "doc_id", text: str = "text", composed: bool = False, stopwords: bool = False) -> DataFrame:
     """doc, length, tf: how often a document has each token of the query; with `stopwords` documents keep theirs."""
 

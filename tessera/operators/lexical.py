@@ -54,6 +54,14 @@ def inverted_index(post: DataFrame, block: int = 1_000_000) -> DataFrame:
     return post.groupBy("token", F.expr(f"doc div {block}").alias("block")).agg(F.sort_array(F.collect_list("doc")).alias("docs"))
 
 
+def inverted_of(docs: DataFrame, doc: str = "doc_id", text: str = "text", block: int = 1_000_000, composed: bool = False) -> DataFrame:
+    """inverted_index of a corpus: lists of neighbouring documents are made where the texts are, and only these move."""
+    rows = G.inverted(dealt(docs.where(F.col(doc).isNotNull()).select(doc, text)), block, doc, text, composed)
+    known = G.merged(by_token(rows, docs).sortWithinPartitions("token", "block"))
+    nameless = G.distinct(docs.where(F.col(doc).isNull()).select(doc, text), doc, text, composed).distinct()  # their tokens have no block and no list
+    return known.union(nameless.select("token", *(F.lit(None).cast(known.schema[c].dataType).alias(c) for c in ("block", "docs"))))
+
+
 def tfidf_index(post: DataFrame, n_docs: DataFrame) -> DataFrame:
     """token, doc, weight = tf ln((N + 1) / (1 + df)). Pass post through by_token where it is large."""
     return _with_df(post).crossJoin(F.broadcast(n_docs)).select("token", "doc", (F.col("tf") * F.log((F.col("n") + 1) / (F.col("df") + 1))).alias("weight"))

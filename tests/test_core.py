@@ -152,3 +152,18 @@ def test_weighted_indexes_read_the_texts_once(spark):
         assert len(rows.collect()) == 100
         plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert plan.count("MapInArrow") == 1 and "ReusedExchange" in plan and "SortMergeJoin" not in plan
+
+
+def test_inverted_lists_are_merged(spark):
+    """Lists of a token meet from many batches; repeated ids count once, null ids have neither block nor list."""
+    texts = [*ODD_TEXTS, "data center apple", "apple", "apple data"]
+    docs = spark.createDataFrame([*((i % 13 - 4, t) for i, t in enumerate(texts * 3)), (None, "apple pear")], "doc_id long, text string").repartition(3)
+    post = lexical.postings(lexical.tokenized(docs))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        for block in (3, 1000):
+            want = {(r.token, r.block): r.docs for r in lexical.inverted_index(post.where("doc is not null"), block).collect()}
+            got = lexical.inverted_of(docs, block=block).collect()
+            assert {(r.token, r.block): r.docs for r in got} == want | {(t, None): None for t in ("apple", "pear", "applepear")} and len(got) == len(want) + 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
